@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,12 +110,12 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bridges(spark: SparkSession, sf_dir: str, lower_message_chains: bool = False) -> DataFrame:
-    """The bridge relation of both feeds."""
+def bridges(spark: SparkSession, sf_dir: str, columns: Sequence[str] = normalize.COLUMNS) -> DataFrame:
+    """The bridge relation of both feeds, message chains as spelled."""
     return normalize.bridges(
         transfers(spark, sf_dir),
         messages(spark, sf_dir),
         TRANSFER_ROUTERS,
         MESSAGE_ROUTERS,
-        lower_message_chains,
+        columns=columns,
     )

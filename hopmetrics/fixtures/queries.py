@@ -24,24 +24,22 @@ def _rows() -> Column:
     return F.count(F.lit(1)).alias("rows")
 
 
-def _on_bridges(report: Callable[..., DataFrame], *arguments) -> Query:
-    return lambda spark, sf_dir: report(feeds.bridges(spark, sf_dir), *arguments)
+def _on_bridges(operator: Callable[..., DataFrame], *arguments, columns=normalize.COLUMNS) -> Query:
+    return lambda spark, sf_dir: operator(feeds.bridges(spark, sf_dir, columns), *arguments)
 
 
-def _ranged(report: Callable[..., DataFrame]) -> Query:
-    return _on_bridges(report, START, END)
+def _report(name: str, *arguments) -> Query:
+    return _on_bridges(getattr(reports, name), *arguments, columns=reports.COLUMNS[name])
 
 
-def _by(grain: str, report: Callable[..., DataFrame]) -> Query:
-    return _on_bridges(report, grain, START, END)
+def _shared(name: str, key: str, values: list[str]) -> Query:
+    """A report with the share of each row in the whole."""
 
+    def operator(bridges: DataFrame) -> DataFrame:
+        rows = getattr(reports, name)(bridges, START, END)
+        return shares.share_of_total(rows.select(key, *values), values)
 
-def _shared(report: Callable[..., DataFrame], key: str, values: list[str]) -> Query:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = report(feeds.bridges(spark, sf_dir), START, END).select(key, *values)
-        return shares.share_of_total(rows, values)
-
-    return query
+    return _on_bridges(operator, columns=reports.COLUMNS[name])
 
 
 def scan(feed: Callable[[SparkSession, str], DataFrame]) -> Query:
@@ -181,36 +179,32 @@ def status_volume_total(bridges: DataFrame, start, end) -> DataFrame:
 def bridge_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the relation, read it back by partition, and report from it."""
     path = store.new_table_path(spark, "bridges")
-    store.write_bridges(feeds.bridges(spark, sf_dir), path)
-    return reports.activity_by_period(store.read_bridges(spark, path), "month", START, END)
-
-
-REPORTS: dict[str, Query] = {
-    "period_kpis": _ranged(reports.period_kpis),
-    "kpis_7d": _on_bridges(reports.kpis_7d, AS_OF),
-    "kpis_30d": _on_bridges(reports.kpis_30d, AS_OF),
-    "activity_by_period": _by("month", reports.activity_by_period),
-    "user_growth": _by("month", reports.user_growth),
-    "status_volume_by_period": _by("month", reports.status_volume_by_period),
-    "status_volume": _ranged(reports.status_volume),
-    "source_chain_status_users": _ranged(reports.source_chain_status_users),
-    "txn_count_buckets": _ranged(reports.txn_count_buckets),
-    "amount_buckets": _ranged(reports.amount_buckets),
-    "asset_breakdown": _ranged(reports.asset_breakdown),
-    "source_chain_breakdown": _ranged(reports.source_chain_breakdown),
-    "dest_chain_breakdown": _ranged(reports.dest_chain_breakdown),
-}
+    store.write_bridges(feeds.bridges(spark, sf_dir), path, partition="created_month")
+    bridges = store.read_bridges(spark, path, partition="created_month")
+    return reports.activity_by_period(bridges, "month", START, END)
+
+
+GRAIN_REPORTS = ("activity_by_period", "user_growth", "status_volume_by_period")
+TRAILING_REPORTS = ("kpis_7d", "kpis_30d")
+
+
+def _arguments(name: str) -> tuple:
+    if name in TRAILING_REPORTS:
+        return (AS_OF,)
+    return ("month", START, END) if name in GRAIN_REPORTS else (START, END)
+
+
+REPORTS: dict[str, Query] = {name: _report(name, *_arguments(name)) for name in reports.COLUMNS}
 
 OTHER_GRAINS: dict[str, Query] = {
-    f"{name}_{grain}": _by(grain, report)
-    for name, report in {
-        "activity_by_period": reports.activity_by_period,
-        "user_growth": reports.user_growth,
-        "status_volume_by_period": reports.status_volume_by_period,
-    }.items()
+    f"{name}_{grain}": _report(name, grain, START, END)
+    for name in GRAIN_REPORTS
     for grain in ("week", "day")
 }
 
+ACTIVITY = reports.COLUMNS["user_growth"]
+USD = reports.COLUMNS["status_volume"]
+
 OPERATORS: dict[str, Query] = {
     "scan_transfers": scan(feeds.transfers),
     "scan_messages": scan(feeds.messages),
@@ -221,31 +215,35 @@ OPERATORS: dict[str, Query] = {
     "settled_transfers": settled_transfers,
     "router_transfers": router_transfers,
     "router_messages": router_messages,
-    "date_range": _ranged(lambda bridges, start, end: _per_service(date_range(bridges, start, end))),
-    "trailing_days": _on_bridges(lambda bridges: _per_service(trailing_days(bridges, 7, AS_OF))),
+    "date_range": _on_bridges(
+        lambda bridges: _per_service(date_range(bridges, START, END)), columns=("created_at", "service")
+    ),
+    "trailing_days": _on_bridges(
+        lambda bridges: _per_service(trailing_days(bridges, 7, AS_OF)), columns=("created_at", "service")
+    ),
     "transfers_normalized": transfers_normalized,
     "messages_normalized": messages_normalized,
-    "bridges_union": _on_bridges(bridges_union),
-    "service_summary": _on_bridges(service_summary),
+    "bridges_union": _on_bridges(bridges_union, columns=("service", "id")),
+    "service_summary": _on_bridges(service_summary, columns=("service", "amount", "amount_usd", "fee")),
     "message_fee": message_fee,
-    "chain_case": _on_bridges(chain_case),
-    "unique_routes": _on_bridges(unique_routes),
-    "median_by_period": _ranged(median_by_period),
-    "first_activity_ts": _on_bridges(cohorts.first_activity_ts),
-    "first_activity_date": _on_bridges(cohorts.first_activity_date),
-    "users_by_period": _by("month", lambda b, grain, s, e: cohorts.users_by_period(b, grain, s, e)),
-    "new_users_by_period": _by("month", lambda b, grain, s, e: cohorts.new_users_by_period(b, grain, s, e)),
-    "status_join": _on_bridges(cohorts.status_rows),
-    "status_volume_share": _ranged(status_volume_share),
-    "share_of_total": _shared(reports.source_chain_breakdown, "source_chain", ["volume", "bridges"]),
-    "dest_chain_share": _shared(reports.dest_chain_breakdown, "destination_chain", ["volume", "bridges"]),
-    "asset_share": _shared(reports.asset_breakdown, "symbol", ["volume", "bridges"]),
-    "amount_bucket_share": _shared(reports.amount_buckets, "amount_bucket", ["transactions"]),
-    "txn_bucket_share": _shared(reports.txn_count_buckets, "txn_bucket", ["users"]),
-    "status_share": _shared(reports.status_volume, "user_status", ["volume"]),
-    "status_volume_wide": _ranged(status_volume_wide),
-    "status_volume_total": _ranged(status_volume_total),
-    "asset_label": _on_bridges(asset_label),
+    "chain_case": _on_bridges(chain_case, columns=("source_chain", "destination_chain")),
+    "unique_routes": _on_bridges(unique_routes, columns=("source_chain", "destination_chain")),
+    "median_by_period": _on_bridges(median_by_period, START, END, columns=("created_at", "amount_usd")),
+    "first_activity_ts": _on_bridges(cohorts.first_activity_ts, columns=ACTIVITY),
+    "first_activity_date": _on_bridges(cohorts.first_activity_date, columns=ACTIVITY),
+    "users_by_period": _on_bridges(cohorts.users_by_period, "month", START, END, columns=ACTIVITY),
+    "new_users_by_period": _on_bridges(cohorts.new_users_by_period, "month", START, END, columns=ACTIVITY),
+    "status_join": _on_bridges(cohorts.status_rows, columns=USD),
+    "status_volume_share": _on_bridges(status_volume_share, START, END, columns=USD),
+    "share_of_total": _shared("source_chain_breakdown", "source_chain", ["volume", "bridges"]),
+    "dest_chain_share": _shared("dest_chain_breakdown", "destination_chain", ["volume", "bridges"]),
+    "asset_share": _shared("asset_breakdown", "symbol", ["volume", "bridges"]),
+    "amount_bucket_share": _shared("amount_buckets", "amount_bucket", ["transactions"]),
+    "txn_bucket_share": _shared("txn_count_buckets", "txn_bucket", ["users"]),
+    "status_share": _shared("status_volume", "user_status", ["volume"]),
+    "status_volume_wide": _on_bridges(status_volume_wide, START, END, columns=USD),
+    "status_volume_total": _on_bridges(status_volume_total, START, END, columns=USD),
+    "asset_label": _on_bridges(asset_label, columns=("raw_asset",)),
     "bridge_table": bridge_table,
 }
 

@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 
 GRAINS = ("day", "week", "month", "quarter", "year")
 
-# Partition column of the materialised bridge table; always the calendar date of
-# created_at, so filtering on it prunes partitions and gives the same rows.
-DATE_COLUMN = "created_date"
+# Partition columns the materialised bridge table may carry, and their grain.
+PARTITION_COLUMNS = {"created_day": "day", "created_month": "month"}
 
 
 def as_date(value: dt.date | dt.datetime | str) -> dt.date:
@@ -29,34 +28,45 @@ def bucket(grain: str, when: Column) -> Column:
     """Start of the day / week (Monday) / month of ``when``, as TIMESTAMP_NTZ."""
     if grain not in GRAINS:
         raise ValueError(f"grain must be one of {GRAINS}, not {grain!r}")
-    day = F.to_date(when)
-    return (day if grain == "day" else F.trunc(day, grain)).cast("timestamp_ntz")
+    return day_start(grain, F.to_date(when)).cast("timestamp_ntz")
 
 
-def calendar_date(rows: DataFrame) -> Column:
-    if DATE_COLUMN in rows.columns:
-        return F.col(DATE_COLUMN)
-    return F.to_date("created_at")
+def day_start(grain: str, day: Column) -> Column:
+    """First day of the bucket that holds ``day``, as DATE."""
+    return day if grain == "day" else F.trunc(day, grain)
 
 
-def date_range(rows: DataFrame, start=None, end=None) -> DataFrame:
-    """Rows whose calendar date is in [start, end]; an open end is None.
+def _bounded(rows: DataFrame, first: Column | None, last: Column | None) -> DataFrame:
+    """Rows whose calendar date is in [first, last].
 
-    On the feeds Catalyst turns ``to_date(created_at)`` bounds into a timestamp
-    range and pushes it into both scans; on the bridge table it prunes partitions.
+    On the feeds Catalyst turns the bounds on ``to_date(created_at)`` into a
+    timestamp range and pushes it into both scans. On the bridge table the same
+    bounds, moved to the start of a partition, also prune partitions.
     """
-    day = calendar_date(rows)
-    if start is not None:
-        rows = rows.filter(day >= F.lit(as_date(start)))
-    if end is not None:
-        rows = rows.filter(day <= F.lit(as_date(end)))
+    day = F.to_date("created_at")
+    partitions = {c: grain for c, grain in PARTITION_COLUMNS.items() if c in rows.columns}
+    if first is not None:
+        rows = rows.filter(day >= first)
+        for column, grain in partitions.items():
+            rows = rows.filter(F.col(column) >= day_start(grain, first))
+    if last is not None:
+        rows = rows.filter(day <= last)
+        for column, grain in partitions.items():
+            rows = rows.filter(F.col(column) <= last)
     return rows
 
 
+def date_range(rows: DataFrame, start=None, end=None) -> DataFrame:
+    """Rows whose calendar date is in [start, end]; an open end is None."""
+    first = None if start is None else F.lit(as_date(start))
+    last = None if end is None else F.lit(as_date(end))
+    return _bounded(rows, first, last)
+
+
 def trailing_days(rows: DataFrame, days: int, as_of=None) -> DataFrame:
     """The last ``days`` calendar days including ``as_of`` (today if None).
 
     There is no upper bound: rows dated after ``as_of`` stay.
     """
     today = F.current_date() if as_of is None else F.lit(as_date(as_of))
-    return rows.filter(calendar_date(rows) >= F.date_sub(today, days - 1))
+    return _bounded(rows, F.date_sub(today, days - 1), None)

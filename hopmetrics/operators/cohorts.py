@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hopmetrics.functions import usd
-from hopmetrics.functions.calendar import as_date, bucket, calendar_date, date_range
+from hopmetrics.functions.calendar import as_date, bucket, date_range
 from hopmetrics.operators.normalize import lower_chains
 
 NEW, RETURNING = "New Users", "Returning Users"
@@ -37,7 +37,7 @@ def first_activity_ts(bridges: DataFrame) -> DataFrame:
 
 def first_activity_date(bridges: DataFrame) -> DataFrame:
     """(wallet, first_date) over all time."""
-    return bridges.groupBy("wallet").agg(F.min(calendar_date(bridges)).alias("first_date"))
+    return bridges.groupBy("wallet").agg(F.min(F.to_date("created_at")).alias("first_date"))
 
 
 def users_by_period(bridges: DataFrame, grain: str, start=None, end=None) -> DataFrame:
@@ -77,7 +77,7 @@ def user_growth(bridges: DataFrame, grain: str, start=None, end=None) -> DataFra
     ``returning``.
     """
     rows = date_range(bridges, None, end)
-    day = calendar_date(rows)
+    day = F.to_date("created_at")
     if start is None:
         period, seen = bucket(grain, day), day
     else:
@@ -119,7 +119,7 @@ def _clamped(bridges: DataFrame, start, end) -> tuple[DataFrame, Column, Column]
     midnight = dt.datetime.combine(as_date(start), dt.time())
     last_instant = (midnight - dt.timedelta(microseconds=1)).isoformat(sep=" ")
     before = F.lit(last_instant).cast("timestamp_ntz")
-    return rows, F.greatest(at, before), calendar_date(rows) >= F.lit(as_date(start))
+    return rows, F.greatest(at, before), F.to_date("created_at") >= F.lit(as_date(start))
 
 
 _MEASURES = ("rows", "exact_rows", "exact", "large_rows", "large")
@@ -211,12 +211,12 @@ def status_users_by_chain(
     visits = rows.groupBy("wallet", "source_chain").agg(
         F.min(at).alias("first_here"), F.max(F.when(in_range, at)).alias("last_in_range")
     )
-    own = Window.partitionBy("wallet")
+    own = Window.partitionBy("wallet").orderBy(F.asc_nulls_last("first_here"), "source_chain")
     visits = visits.withColumns(
         {
-            "first": F.min("first_here").over(own),
+            "first": F.first("first_here").over(own),
             # One row per wallet stands for it when first users are counted.
-            "stands": (F.row_number().over(own.orderBy("source_chain")) == 1).cast("int"),
+            "stands": (F.row_number().over(own) == 1).cast("int"),
         }
     )
     known = F.col("wallet").isNotNull()

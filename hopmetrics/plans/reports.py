@@ -18,6 +18,26 @@ from hopmetrics.operators import cohorts
 from hopmetrics.operators.normalize import route
 from hopmetrics.operators.profile import profile
 
+# Columns of the bridge relation each report reads. When a report runs straight
+# from the feeds, pass them to ``bridges`` so that only their leaves are decoded.
+COLUMNS = {
+    "period_kpis": (
+        "created_at", "id", "wallet", "amount_usd", "raw_asset", "source_chain", "destination_chain",
+    ),
+    "kpis_7d": ("created_at", "id", "wallet", "amount_usd"),
+    "kpis_30d": ("created_at", "id", "wallet", "amount_usd"),
+    "activity_by_period": ("created_at", "id", "wallet", "amount_usd"),
+    "user_growth": ("created_at", "wallet"),
+    "status_volume_by_period": ("created_at", "wallet", "amount_usd"),
+    "status_volume": ("created_at", "wallet", "amount_usd"),
+    "source_chain_status_users": ("created_at", "wallet", "source_chain"),
+    "txn_count_buckets": ("created_at", "id", "wallet"),
+    "amount_buckets": ("created_at", "id", "amount_usd"),
+    "asset_breakdown": ("created_at", "id", "amount_usd", "raw_asset"),
+    "source_chain_breakdown": ("created_at", "id", "wallet", "amount_usd", "source_chain"),
+    "dest_chain_breakdown": ("created_at", "id", "wallet", "amount_usd", "destination_chain"),
+}
+
 
 def period_kpis(bridges: DataFrame, start, end) -> DataFrame:
     """Headline indicators of the range, one row."""

@@ -1,7 +1,11 @@
-"""Schemas of the two raw feeds, their payloads and the bridge relation (DDL)."""
+"""Schemas of the two raw feeds, their payloads and the bridge relation."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+from pyspark.sql import types as T
+
 # Raw feeds: typed envelope plus one JSON text column.
 TRANSFER_FEED = """
     id STRING, created_at TIMESTAMP_NTZ, recipient_address STRING, sender_address STRING,
@@ -11,31 +15,9 @@ MESSAGE_FEED = """
     id STRING, created_at TIMESTAMP_NTZ, status STRING, simplified_status STRING, data STRING
 """
 
-# Payload leaves are all STRING: a number, boolean, array or object arrives as its
-# JSON text and is judged by the numeric cleaning, never by the JSON reader.
-TRANSFER_PAYLOAD = """
-    send STRUCT<
-        amount: STRING,
-        original_source_chain: STRING,
-        original_destination_chain: STRING,
-        fee_value: STRING>,
-    link STRUCT<price: STRING, asset: STRING>
-"""
-MESSAGE_PAYLOAD = """
-    amount STRING,
-    value STRING,
-    symbol STRING,
-    gas STRUCT<gas_used_amount: STRING>,
-    gas_price_rate STRUCT<source_token: STRUCT<token_price: STRUCT<usd: STRING>>>,
-    fees STRUCT<express_fee_usd: STRING>,
-    approved STRUCT<returnValues: STRUCT<contractAddress: STRING>>,
-    call STRUCT<
-        chain: STRING,
-        returnValues: STRUCT<destinationChain: STRING>,
-        transaction: STRUCT<`from`: STRING>>
-"""
-
-# Path of every payload leaf the reports read, under a flat name.
+# Path of every payload leaf the reports read, under a flat name. All leaves are
+# decoded as STRING: a number, boolean, array or object arrives as its JSON text
+# and is judged by the numeric cleaning, never by the JSON reader.
 TRANSFER_LEAVES = {
     "amount": "send.amount",
     "source_chain": "send.original_source_chain",
@@ -57,6 +39,24 @@ MESSAGE_LEAVES = {
     "sender": "call.transaction.from",
 }
 
+
+
+def payload_type(paths: Iterable[str]) -> T.StructType:
+    """The smallest struct that holds STRING leaves at the dotted ``paths``."""
+    children: dict[str, list[str]] = {}
+    for path in paths:
+        head, _, rest = path.partition(".")
+        children.setdefault(head, [])
+        if rest:
+            children[head].append(rest)
+    return T.StructType(
+        [
+            T.StructField(name, payload_type(inner) if inner else T.StringType())
+            for name, inner in children.items()
+        ]
+    )
+
+
 # The bridge relation, one row per settled routed transfer or message.
 BRIDGES = """
     created_at TIMESTAMP_NTZ, source_chain STRING, destination_chain STRING, wallet STRING,
