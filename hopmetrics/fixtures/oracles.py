@@ -287,7 +287,8 @@ UNION ALL
 SELECT 'lower case' AS variant,
        count(DISTINCT source_chain || '➡' || destination_chain) AS routes FROM lowered""",
         "median_by_period": f"""{RELATION}
-SELECT {_period("month")} AS date, median(amount_usd) AS median FROM ranged GROUP BY 1""",
+SELECT {_period("month")} AS date, median(amount_usd) AS median
+FROM ranged WHERE amount_usd IS NOT NULL GROUP BY 1""",
         "first_activity_ts": f"{RELATION} SELECT wallet, min(created_at) AS first_ts FROM bridges GROUP BY 1",
         "first_activity_date": f"""{RELATION}
 SELECT wallet, min(CAST(created_at AS DATE)) AS first_date FROM bridges GROUP BY 1""",

@@ -153,7 +153,8 @@ def unique_routes(bridges: DataFrame) -> DataFrame:
 
 def median_by_period(bridges: DataFrame, start, end) -> DataFrame:
     rows = date_range(bridges, start, end).withColumn("date", bucket("month", F.col("created_at")))
-    return profile.profile(rows, ["date"], {}, F.col("amount_usd")).select("date", "median")
+    values = profile.entries(rows, ["date"], {}, F.col("amount_usd"))
+    return profile.medians(values, ["date"])
 
 
 def asset_label(bridges: DataFrame) -> DataFrame:
@@ -188,13 +189,13 @@ GRAIN_REPORTS = ("activity_by_period", "user_growth", "status_volume_by_period")
 TRAILING_REPORTS = ("kpis_7d", "kpis_30d")
 
 
-def _arguments(name: str) -> tuple:
+def report_arguments(name: str) -> tuple:
     if name in TRAILING_REPORTS:
         return (AS_OF,)
     return ("month", START, END) if name in GRAIN_REPORTS else (START, END)
 
 
-REPORTS: dict[str, Query] = {name: _report(name, *_arguments(name)) for name in reports.COLUMNS}
+REPORTS: dict[str, Query] = {name: _report(name, *report_arguments(name)) for name in reports.COLUMNS}
 
 OTHER_GRAINS: dict[str, Query] = {
     f"{name}_{grain}": _report(name, grain, START, END)

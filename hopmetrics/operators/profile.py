@@ -1,4 +1,4 @@
-"""Exact distinct counts, sum, maximum, average and median in one pass.
+"""Exact distinct counts, sum, maximum, average and median from one scan.
 
 ``F.median`` keeps every distinct value of a group in one task's memory, and
 several distinct counts beside it would each want their own pass. Here a single
@@ -12,25 +12,29 @@ aggregation over (group, kind, key, value) serves them all:
   coarse cells tells which one holds the middle rank, a histogram of its fine
   cells narrows that down, and only the values of that fine cell are ranked.
 
-Every ranked set is bounded by the grid, not by the data: at most 2^12 coarse
-cells per factor of two, 2^18 fine cells in a coarse one, and a fine cell spans
+Every ranked set is bounded by the grid, not by the data: at most 2^10 coarse
+cells per factor of two, 2^20 fine cells in a coarse one, and a fine cell spans
 a relative width of 2^-30, which holds under 2^23 different doubles.
 
-All steps read the same exchange; none filters on a grouping column of the entry
-table, because such a filter would be pushed below it and scan the input again.
+The entries' exchange is read twice (summary, value table) and the value table's
+three times (the narrowing steps). For that to be one exchange each, all readers
+must want the same columns, and no filter may touch a grouping column: it would
+be pushed below the aggregation and give each reader its own scan. Filters
+therefore use aggregated columns, and join keys are null-safe, which keeps the
+optimiser from inferring IS NOT NULL.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from hopmetrics.functions import usd
 
 FINE_CELLS_LOG2 = 30  # fine cells per factor of two, as a power of two
-COARSE_SHIFT = 18  # fine cells in a coarse cell, as a power of two
+COARSE_SHIFT = 20  # fine cells in a coarse cell, as a power of two
 # Above the largest magnitude of a double's binary logarithm (-1074 .. 1024), so
 # that the shifted logarithm is positive and its sign can carry the value's.
 LOG_OFFSET = 1100.0
@@ -43,14 +47,13 @@ def _fine_cell(value: Column) -> Column:
     return F.floor(position * float(1 << FINE_CELLS_LOG2))
 
 
-def _coarse_cell(value: Column) -> Column:
-    return F.shiftright(_fine_cell(value), COARSE_SHIFT)
-
-
 def entries(
     rows: DataFrame, by: Sequence[str], distinct: dict[str, Column], value: Column
 ) -> DataFrame:
-    """(by..., kind, key, value, n): how often each distinct key and value occurs."""
+    """(by..., kind, key, value, n): the distinct keys, and the values with counts.
+
+    ``n`` is how often a value occurs, and 0 for a key or a missing value.
+    """
     nothing = F.lit(None)
     unfolded = [
         F.struct(
@@ -70,7 +73,7 @@ def entries(
     return (
         rows.select(*by, F.inline(F.array(*unfolded)))
         .groupBy(*by, "kind", "key", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count("value").alias("n"))
     )
 
 
@@ -89,21 +92,36 @@ def _renamed(cells: DataFrame, by: Sequence[str]) -> DataFrame:
 def medians(counted: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by..., median) of the value entries; groups without values are absent.
 
-    Null-safe join keys keep the optimiser from inferring IS NOT NULL filters
-    that would make the entry subplans differ. The joined sides hold at most two
-    cells per group, and ``by`` is a calendar bucket, hence the broadcasts.
+    The broadcast sides hold at most two cells per group, and ``by`` is a
+    calendar bucket, which bounds the groups.
     """
-    of_value = F.when(F.col("value").isNotNull(), F.col("n"))
-    group = Window.partitionBy(*by)
+    values = (
+        counted.filter(F.col("n") > 0)
+        .select(*by, "value", "n", _fine_cell(F.col("value")).alias("cell"))
+        .repartition(*by, "cell")
+    )
+    coarse_cell = F.shiftright("cell", COARSE_SHIFT)
 
+    def whole(order: str) -> WindowSpec:
+        # Same order as the running sum, so that one sort serves both.
+        everything = (Window.unboundedPreceding, Window.unboundedFollowing)
+        return Window.partitionBy(*by).orderBy(order).rowsBetween(*everything)
+
+    def running(order: str) -> WindowSpec:
+        return Window.partitionBy(*by).orderBy(order)
+
+    # Cells are ranked by their lowest value, which is the order of the cells.
     coarse = (
-        counted.groupBy(*by, _coarse_cell(F.col("value")).alias("coarse"))
-        .agg(F.coalesce(F.sum(of_value), F.lit(0)).alias("n"))
-        .withColumn("total", F.sum("n").over(group))
-        .withColumn("upto", F.sum("n").over(group.orderBy("coarse")))
-        .withColumn("low", F.expr("(total - 1) div 2"))
-        .withColumn("high", F.expr("total div 2"))
-        .filter((F.col("n") > 0) & _holds_middle("upto", "n"))
+        values.groupBy(*by, coarse_cell.alias("coarse"))
+        .agg(F.sum("n").alias("n"), F.min("value").alias("lowest"))
+        .withColumns(
+            {
+                "total": F.sum("n").over(whole("lowest")),
+                "upto": F.sum("n").over(running("lowest")),
+            }
+        )
+        .withColumns({"low": F.expr("(total - 1) div 2"), "high": F.expr("total div 2")})
+        .filter(_holds_middle("upto", "n"))
         .select(*by, "coarse", (F.col("upto") - F.col("n")).alias("before"), "low", "high")
     )
 
@@ -112,37 +130,33 @@ def medians(counted: DataFrame, by: Sequence[str]) -> DataFrame:
         match = cell.eqNullSafe(F.col(name))
         for column in by:
             match = match & F.col(column).eqNullSafe(F.col(f"m_{column}"))
-        return counted.join(F.broadcast(cells), match)
-
-    in_coarse = [*by, "coarse", "before", "low", "high"]
-    fine = (
-        inside(coarse, _coarse_cell(F.col("value")), "coarse")
-        .groupBy(*in_coarse, _fine_cell(F.col("value")).alias("fine"))
-        .agg(F.sum("n").alias("n"))
-        .withColumn(
-            "upto",
-            F.col("before")
-            + F.sum("n").over(Window.partitionBy(*by, "coarse").orderBy("fine")),
-        )
-        .filter(_holds_middle("upto", "n"))
-        .select(*by, "fine", (F.col("upto") - F.col("n")).alias("before"), "low", "high")
-    )
+        return values.join(F.broadcast(cells), match)
 
-    ranked = (
-        inside(fine, _fine_cell(F.col("value")), "fine")
-        .withColumn(
-            "upto",
-            F.col("before") + F.sum("n").over(Window.partitionBy(*by, "fine").orderBy("value")),
-        )
-        .filter(_holds_middle("upto", "n"))
-    )
+    def ranked(cells: DataFrame, order: str) -> DataFrame:
+        """The entries that hold a middle rank, with the rank each reaches up to.
+
+        Where a group has two cells there is no value between them (the middle
+        ranks are neighbours), so one running sum spans both.
+        """
+        upto = F.min("before").over(whole(order)) + F.sum("n").over(running(order))
+        return cells.withColumn("upto", upto).filter(_holds_middle("upto", "n"))
+
+    in_coarse = inside(coarse, coarse_cell, "coarse")
+    fine = ranked(
+        in_coarse.groupBy(*by, "low", "high", F.col("cell").alias("fine")).agg(
+            F.min("before").alias("before"), F.sum("n").alias("n"), F.min("value").alias("lowest")
+        ),
+        "lowest",
+    ).select(*by, "fine", (F.col("upto") - F.col("n")).alias("before"), "low", "high")
+
+    in_fine = ranked(inside(fine, F.col("cell"), "fine"), "value")
 
     def half(rank: str) -> Column:
         hit = (F.col("upto") - F.col("n") <= F.col(rank)) & (F.col(rank) < F.col("upto"))
         return F.when(hit, F.lit(0.5)).otherwise(F.lit(0.0))
 
     middle = F.sum(F.col("value") * (half("low") + half("high")))
-    return ranked.groupBy(*by).agg(middle.alias("median"))
+    return in_fine.groupBy(*by).agg(middle.alias("median"))
 
 
 def profile(
@@ -158,9 +172,9 @@ def profile(
     n, amount = F.col("n"), F.col("value")
     exact = F.sum(usd.exact_part(amount) * n)
     large = F.sum(usd.large_part(amount) * n)
-    priced = F.sum(F.when(amount.isNotNull(), n))
+    priced = F.nullif(F.sum("n"), F.lit(0))
     counts = [
-        F.count(F.when((F.col("kind") == kind) & (n > 0), F.col("key"))).alias(kind)
+        F.count(F.when((F.col("kind") == kind) & (n == 0), F.col("key"))).alias(kind)
         for kind in distinct
     ]
     summary = counted.groupBy(*by).agg(
