@@ -92,7 +92,7 @@ def main() -> None:
                 "value": round(sum(queries.values()), 3),
                 "unit": "sec",
                 "queries": queries,
-                "sf": os.path.basename(sf_dir).removeprefix("sf"),
+                "sf": float(os.path.basename(sf_dir).removeprefix("sf")),
                 "from_feeds": from_feeds,
                 "from_feeds_total": round(sum(from_feeds.values()), 3),
                 "write_table": write_table,

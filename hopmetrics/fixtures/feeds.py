@@ -12,6 +12,7 @@ from hopmetrics.operators import normalize
 TRANSFER_ROUTERS = ("Red", "BLUE", "green")
 MESSAGE_ROUTERS = ("Click", "VIEW", "purchase")
 START, END, AS_OF = "1995-01-01", "2024-12-31", "2024-01-30"
+MID_START, MID_END = "1997-03-11", "1999-08-20"
 
 ASSET_OF_TYPE = {
     "PROMO": "uusdc",

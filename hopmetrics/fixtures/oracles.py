@@ -6,7 +6,7 @@ DataFrame side, and the status join spelled out literally.
 
 from __future__ import annotations
 
-from hopmetrics.fixtures.feeds import AS_OF, END, START
+from hopmetrics.fixtures.feeds import AS_OF, END, MID_END, MID_START, START
 
 TRANSFER_ROWS = """
 raw_transfers AS (
@@ -222,6 +222,34 @@ CANONICAL = (
 
 
 def oracle_sql() -> dict[str, str]:
+    whole = _whole_range()
+    mid_range = {f"{name}_mid_range": _moved(whole[name]) for name in RANGED}
+    return {**whole, **mid_range}
+
+
+RANGED = (
+    "period_kpis",
+    "activity_by_period",
+    "user_growth",
+    "status_volume_by_period",
+    "status_volume",
+    "source_chain_status_users",
+    "txn_count_buckets",
+    "amount_buckets",
+    "asset_breakdown",
+    "source_chain_breakdown",
+    "dest_chain_breakdown",
+)
+
+
+def _moved(sql: str) -> str:
+    """The same query over the middle range."""
+    return sql.replace(f"DATE '{START}'", f"DATE '{MID_START}'").replace(
+        f"DATE '{END}'", f"DATE '{MID_END}'"
+    )
+
+
+def _whole_range() -> dict[str, str]:
     return {
         "period_kpis": PERIOD_KPIS,
         "kpis_7d": _trailing(7),

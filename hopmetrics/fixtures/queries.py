@@ -8,12 +8,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopmetrics.fixtures import feeds
-from hopmetrics.fixtures.feeds import AS_OF, END, MESSAGE_ROUTERS, START, TRANSFER_ROUTERS
+from hopmetrics.fixtures.feeds import (
+    AS_OF,
+    END,
+    MESSAGE_ROUTERS,
+    MID_END,
+    MID_START,
+    START,
+    TRANSFER_ROUTERS,
+)
 from hopmetrics.functions import usd
 from hopmetrics.functions.assets import with_asset_label
 from hopmetrics.functions.calendar import bucket, date_range, trailing_days
 from hopmetrics.functions.numeric import clean_double, safe_product
-from hopmetrics.operators import cohorts, normalize, profile, shares
+from hopmetrics.operators import cohorts, normalize, profile
 from hopmetrics.plans import reports
 from hopmetrics.sources import store
 
@@ -32,14 +40,8 @@ def _report(name: str, *arguments) -> Query:
     return _on_bridges(getattr(reports, name), *arguments, columns=reports.COLUMNS[name])
 
 
-def _shared(name: str, key: str, values: list[str]) -> Query:
-    """A report with the share of each row in the whole."""
-
-    def operator(bridges: DataFrame) -> DataFrame:
-        rows = getattr(reports, name)(bridges, START, END)
-        return shares.share_of_total(rows.select(key, *values), values)
-
-    return _on_bridges(operator, columns=reports.COLUMNS[name])
+def _slices(name: str) -> Query:
+    return _on_bridges(reports.slices, name, START, END, columns=reports.COLUMNS[name])
 
 
 def scan(feed: Callable[[SparkSession, str], DataFrame]) -> Query:
@@ -162,21 +164,6 @@ def asset_label(bridges: DataFrame) -> DataFrame:
     return labelled.groupBy("raw_asset", F.col("symbol").alias("label")).agg(_rows())
 
 
-def status_volume_share(bridges: DataFrame, start, end) -> DataFrame:
-    volume = cohorts.status_volume(bridges, start, end, "month")
-    return shares.share_within(volume, ["date"], "volume")
-
-
-def status_volume_wide(bridges: DataFrame, start, end) -> DataFrame:
-    volume = cohorts.status_volume(bridges, start, end, "month")
-    names = {cohorts.NEW: "new_volume", cohorts.RETURNING: "returning_volume"}
-    return shares.widen(volume, "date", "user_status", names, "volume")
-
-
-def status_volume_total(bridges: DataFrame, start, end) -> DataFrame:
-    return shares.total_by(reports.status_volume(bridges, start, end), "user_status", "volume")
-
-
 def bridge_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the relation, read it back by partition, and report from it."""
     path = store.new_table_path(spark, "bridges")
@@ -189,10 +176,10 @@ GRAIN_REPORTS = ("activity_by_period", "user_growth", "status_volume_by_period")
 TRAILING_REPORTS = ("kpis_7d", "kpis_30d")
 
 
-def report_arguments(name: str) -> tuple:
+def report_arguments(name: str, start: str = START, end: str = END) -> tuple:
     if name in TRAILING_REPORTS:
         return (AS_OF,)
-    return ("month", START, END) if name in GRAIN_REPORTS else (START, END)
+    return ("month", start, end) if name in GRAIN_REPORTS else (start, end)
 
 
 REPORTS: dict[str, Query] = {name: _report(name, *report_arguments(name)) for name in reports.COLUMNS}
@@ -203,6 +190,13 @@ OTHER_GRAINS: dict[str, Query] = {
     for grain in ("week", "day")
 }
 
+# A range with history before and after it, both ends inside a month.
+MID_RANGE: dict[str, Query] = {
+    f"{name}_mid_range": _report(name, *report_arguments(name, MID_START, MID_END))
+    for name in reports.COLUMNS
+    if name not in TRAILING_REPORTS
+}
+
 ACTIVITY = reports.COLUMNS["user_growth"]
 USD = reports.COLUMNS["status_volume"]
 
@@ -235,19 +229,19 @@ OPERATORS: dict[str, Query] = {
     "users_by_period": _on_bridges(cohorts.users_by_period, "month", START, END, columns=ACTIVITY),
     "new_users_by_period": _on_bridges(cohorts.new_users_by_period, "month", START, END, columns=ACTIVITY),
     "status_join": _on_bridges(cohorts.status_rows, columns=USD),
-    "status_volume_share": _on_bridges(status_volume_share, START, END, columns=USD),
-    "share_of_total": _shared("source_chain_breakdown", "source_chain", ["volume", "bridges"]),
-    "dest_chain_share": _shared("dest_chain_breakdown", "destination_chain", ["volume", "bridges"]),
-    "asset_share": _shared("asset_breakdown", "symbol", ["volume", "bridges"]),
-    "amount_bucket_share": _shared("amount_buckets", "amount_bucket", ["transactions"]),
-    "txn_bucket_share": _shared("txn_count_buckets", "txn_bucket", ["users"]),
-    "status_share": _shared("status_volume", "user_status", ["volume"]),
-    "status_volume_wide": _on_bridges(status_volume_wide, START, END, columns=USD),
-    "status_volume_total": _on_bridges(status_volume_total, START, END, columns=USD),
+    "status_volume_share": _on_bridges(reports.status_volume_share, "month", START, END, columns=USD),
+    "share_of_total": _slices("source_chain_breakdown"),
+    "dest_chain_share": _slices("dest_chain_breakdown"),
+    "asset_share": _slices("asset_breakdown"),
+    "amount_bucket_share": _slices("amount_buckets"),
+    "txn_bucket_share": _slices("txn_count_buckets"),
+    "status_share": _slices("status_volume"),
+    "status_volume_wide": _on_bridges(reports.status_volume_wide, "month", START, END, columns=USD),
+    "status_volume_total": _on_bridges(reports.status_volume_total, START, END, columns=USD),
     "asset_label": _on_bridges(asset_label, columns=("raw_asset",)),
     "bridge_table": bridge_table,
 }
 
 
 def queries() -> dict[str, Query]:
-    return {**REPORTS, **OTHER_GRAINS, **OPERATORS}
+    return {**REPORTS, **OTHER_GRAINS, **MID_RANGE, **OPERATORS}

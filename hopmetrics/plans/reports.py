@@ -1,4 +1,5 @@
-"""The thirteen reports over the bridge relation (message chains as spelled).
+"""The thirteen reports over the bridge relation (message chains as spelled), and
+the views drawn from them.
 
 Each takes the relation from ``operators.normalize.bridges`` or, cheaper when
 several run, from ``sources.store.read_bridges``. Dates are inclusive; ``grain``
@@ -14,7 +15,7 @@ from hopmetrics.functions import usd
 from hopmetrics.functions.assets import with_asset_label
 from hopmetrics.functions.buckets import amount_bucket, count_bucket
 from hopmetrics.functions.calendar import bucket, date_range, trailing_days
-from hopmetrics.operators import cohorts
+from hopmetrics.operators import cohorts, shares
 from hopmetrics.operators.normalize import route
 from hopmetrics.operators.profile import profile
 
@@ -182,3 +183,41 @@ def source_chain_breakdown(bridges: DataFrame, start, end) -> DataFrame:
 def dest_chain_breakdown(bridges: DataFrame, start, end) -> DataFrame:
     """Bridges, users and volume per destination chain."""
     return _chain_breakdown(bridges, "destination_chain", start, end)
+
+
+# Views: what the charts add to a report.
+
+
+def status_volume_share(bridges: DataFrame, grain: str, start, end) -> DataFrame:
+    """Percentage of each bucket's volume by user status."""
+    volume = cohorts.status_volume(bridges, start, end, grain)
+    return shares.share_within(volume, ["date"], "volume").orderBy("date", "user_status")
+
+
+def status_volume_wide(bridges: DataFrame, grain: str, start, end) -> DataFrame:
+    """Volume per bucket with one column per user status."""
+    volume = cohorts.status_volume(bridges, start, end, grain)
+    names = {cohorts.NEW: "new_volume", cohorts.RETURNING: "returning_volume"}
+    return shares.widen(volume, "date", "user_status", names, "volume").orderBy("date")
+
+
+def status_volume_total(bridges: DataFrame, start, end) -> DataFrame:
+    """Volume by user status with 0 instead of a missing volume."""
+    return shares.total_by(status_volume(bridges, start, end), "user_status", "volume")
+
+
+# Reports shown as shares of the whole: report, slice name and sizes.
+SLICED = {
+    "status_volume": (status_volume, "user_status", ["volume"]),
+    "txn_count_buckets": (txn_count_buckets, "txn_bucket", ["users"]),
+    "amount_buckets": (amount_buckets, "amount_bucket", ["transactions"]),
+    "asset_breakdown": (asset_breakdown, "symbol", ["volume", "bridges"]),
+    "source_chain_breakdown": (source_chain_breakdown, "source_chain", ["volume", "bridges"]),
+    "dest_chain_breakdown": (dest_chain_breakdown, "destination_chain", ["volume", "bridges"]),
+}
+
+
+def slices(bridges: DataFrame, name: str, start, end) -> DataFrame:
+    """A report of ``SLICED`` with each slice's percentage of the whole."""
+    report, key, sizes = SLICED[name]
+    return shares.share_of_total(report(bridges, start, end).select(key, *sizes), sizes)

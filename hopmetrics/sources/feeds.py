@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hopmetrics.sources import schemas
 
@@ -21,4 +23,5 @@ def _read(spark: SparkSession, source: str, schema: str) -> DataFrame:
     if "/" in source:
         # Declared schema: no footer is read to infer one.
         return spark.read.schema(schema).parquet(source)
-    return spark.table(source)
+    fields = T.StructType.fromDDL(schema).fields
+    return spark.table(source).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in fields))

@@ -142,3 +142,32 @@ def test_report_sink(spark, raw):
     report = run(spark, raw, "source_chain_breakdown")
     store.write_report(report, path)
     assert spark.read.parquet(path).count() == report.count()
+
+
+def test_job_writes_every_report(spark, raw, tmp_path):
+    from hopmetrics import job
+
+    out = str(tmp_path / "out")
+    job.run(
+        spark,
+        f"{raw}/transfers",
+        f"{raw}/messages",
+        out,
+        start=RANGE[0],
+        end=RANGE[1],
+        as_of=fixtures.AS_OF,
+        routers=fixtures.TRANSFER_ROUTERS,
+        message_routers=fixtures.MESSAGE_ROUTERS,
+        partition="created_month",
+    )
+    for name in reports.COLUMNS:
+        written = spark.read.parquet(f"{out}/{name}").collect()
+        assert sorted(map(repr, written)) == sorted(map(repr, run(spark, raw, name).collect()))
+
+
+def test_feeds_from_the_catalog(spark, raw):
+    from_path = feeds.read_messages(spark, f"{raw}/messages")
+    from_path.createOrReplaceTempView("message_feed")
+    from_view = feeds.read_messages(spark, "message_feed")
+    assert from_view.schema == from_path.schema
+    assert from_view.count() == from_path.count()
