@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from hopmetrics.operators import normalize
 
@@ -23,8 +25,15 @@ ASSET_OF_TYPE = {
 }
 
 
+@functools.cache
+def _schema(spark: SparkSession, path: str) -> StructType:
+    """Schema in the footer, looked up once per session instead of once per query."""
+    return spark.read.parquet(path).schema
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.read.schema(_schema(spark, path)).parquet(path)
 
 
 def _transfer_payload(amount: Column, asset: Column) -> Column:

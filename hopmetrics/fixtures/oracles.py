@@ -67,7 +67,7 @@ ranged AS (
   WHERE CAST(created_at AS DATE) BETWEEN DATE '{START}' AND DATE '{END}')
 """
 
-USD_SUM = "CAST(round(sum(CAST(amount_usd AS DECIMAL(28,4)))) AS DOUBLE)"
+USD_SUM = "CAST(round(sum(CAST(amount_usd AS DECIMAL(28,6)))) AS DOUBLE)"
 
 STATUS_JOIN = """
 first_tx AS (SELECT wallet, min(created_at) AS first_ts FROM lowered GROUP BY wallet),
@@ -161,7 +161,7 @@ SELECT amount_bucket, count(DISTINCT id) AS transactions FROM overview GROUP BY
 PERIOD_KPIS = f"""{RELATION}
 SELECT count(DISTINCT id) AS bridges, count(DISTINCT wallet) AS users, {USD_SUM} AS volume,
        count(DISTINCT raw_asset) AS tokens, round(max(amount_usd)) AS max_amount,
-       round(CAST(sum(CAST(amount_usd AS DECIMAL(28,4))) AS DOUBLE) / count(amount_usd)) AS avg_amount,
+       round(CAST(sum(CAST(amount_usd AS DECIMAL(28,6))) AS DOUBLE) / count(amount_usd)) AS avg_amount,
        round(median(amount_usd)) AS median_amount,
        count(DISTINCT source_chain || '➡' || destination_chain) AS routes
 FROM ranged"""
@@ -300,8 +300,8 @@ WHERE CAST(created_at AS DATE) >= DATE '{AS_OF}' - 6 GROUP BY 1""",
 SELECT service, count(*) AS rows, count(DISTINCT id) AS ids FROM bridges GROUP BY 1""",
         "service_summary": f"""{RELATION}
 SELECT service, count(*) AS rows, count(amount) AS amounts, count(fee) AS fees,
-       CAST(sum(CAST(amount_usd AS DECIMAL(28,4))) AS DOUBLE) AS volume,
-       CAST(sum(CAST(fee AS DECIMAL(28,4))) AS DOUBLE) AS fee_total
+       CAST(sum(CAST(amount_usd AS DECIMAL(28,6))) AS DOUBLE) AS volume,
+       CAST(sum(CAST(fee AS DECIMAL(28,6))) AS DOUBLE) AS fee_total
 FROM bridges GROUP BY 1""",
         "message_fee": f"{RELATION} SELECT id, fee FROM message_rows",
         "chain_case": f"""{RELATION}

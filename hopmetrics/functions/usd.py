@@ -2,9 +2,11 @@
 
 A sum of doubles changes in its last digits with the partitioning, which moves a
 total that ends in .5 by a whole dollar when it is rounded. Amounts below 1e15
-are therefore summed as DECIMAL(28,4) (headroom: 1e19 such rows). A larger
-amount carries no cents as a double, and could overflow the decimal, so it is
-summed as a double next to them. No value is dropped.
+are therefore summed as decimals with six places, rounded half to even so that
+the dropped digits do not add up to a bias (headroom: 1e13 rows of 1e15). Six is
+also the scale Spark's decimal arithmetic never cuts below. A larger amount has
+no cents as a double, and could overflow the decimal, so it is summed as a double
+next to them. No value is dropped.
 """
 
 from __future__ import annotations
@@ -13,11 +15,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EXACT_LIMIT = 1e15
-EXACT_TYPE = "decimal(28,4)"
+PLACES = 6
+EXACT_TYPE = f"decimal(28,{PLACES})"
+SUM_TYPE = f"decimal(38,{PLACES})"
 
 
 def exact_part(usd: Column) -> Column:
-    return F.when(F.abs(usd) < EXACT_LIMIT, usd.cast(EXACT_TYPE))
+    rounded = F.bround(usd.cast("decimal(28,10)"), PLACES).cast(EXACT_TYPE)
+    return F.when(F.abs(usd) < EXACT_LIMIT, rounded)
 
 
 def large_part(usd: Column) -> Column:
@@ -46,5 +51,5 @@ def sum_rounded(usd: Column) -> Column:
 
 
 def sum_exact(usd: Column) -> Column:
-    """Aggregate: ``sum(usd)`` to four decimals."""
+    """Aggregate: ``sum(usd)``, not rounded to dollars."""
     return join_parts(F.sum(exact_part(usd)), F.sum(large_part(usd)))

@@ -134,7 +134,7 @@ def status_totals(bridges: DataFrame, start=None, end=None) -> DataFrame:
     by_wallet = rows.groupBy("wallet", at.alias("at")).agg(
         F.count(F.when(in_range, F.lit(1))).alias("rows"),
         F.count(exact).alias("exact_rows"),
-        F.coalesce(F.sum(exact), F.lit(0)).cast("decimal(38,4)").alias("exact"),
+        F.coalesce(F.sum(exact), F.lit(0)).cast(usd.SUM_TYPE).alias("exact"),
         F.count(large).alias("large_rows"),
         F.coalesce(F.sum(large), F.lit(0.0)).alias("large"),
     )
@@ -167,7 +167,7 @@ def status_totals(bridges: DataFrame, start=None, end=None) -> DataFrame:
             F.lit(status).alias("user_status"),
             measures["rows"].alias("rows"),
             (measures["exact_rows"] + measures["large_rows"]).alias("priced"),
-            measures["exact"].cast("decimal(38,4)").alias("exact"),
+            measures["exact"].cast(usd.SUM_TYPE).alias("exact"),
             measures["large"].alias("large"),
         )
 
@@ -178,7 +178,7 @@ def status_totals(bridges: DataFrame, start=None, end=None) -> DataFrame:
 
 
 def _zero(measure: str) -> Column:
-    kind = {"exact": "decimal(38,4)", "large": "double"}.get(measure, "long")
+    kind = {"exact": usd.SUM_TYPE, "large": "double"}.get(measure, "long")
     return F.lit(0).cast(kind)
 
 

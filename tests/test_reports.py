@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -230,6 +231,13 @@ def test_rounding_and_huge_amounts(spark):
     assert total(1e308, 1e308) == float("inf")
 
 
+def test_totals_stay_true_over_many_small_digits(spark):
+    # All of these end in a tie at the sixth decimal; rounding up would add 0.25.
+    rows = spark.range(500_000).select((F.col("id") / 1e6 + 5e-7).alias("v"))
+    values = [i / 1e6 + 5e-7 for i in range(500_000)]
+    assert rows.agg(usd.sum_exact(F.col("v"))).first()[0] == pytest.approx(math.fsum(values), abs=1e-3)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_profile_matches_builtin_aggregates(spark, seed):
     pick = random.Random(seed)
