@@ -126,6 +126,10 @@ def test_bridge_table_round_trip_and_pruning(spark, raw):
         )
 
 
+def test_tables_go_to_the_configured_folder(spark):
+    assert store.new_table_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir") + "/x-")
+
+
 def test_refresh_replaces_only_the_given_days(spark, bridge_rows):
     from conftest import ts
 
