@@ -85,6 +85,9 @@ def main() -> None:
     parser.add_argument("--partition", default="created_day", choices=["created_day", "created_month"])
     arguments = parser.parse_args()
     spark = SparkSession.builder.appName("hopmetrics").getOrCreate()
+    split_size = "spark.sql.files.maxPartitionBytes"
+    if not spark.sparkContext.getConf().contains(split_size):
+        spark.conf.set(split_size, store.ROW_GROUP_BYTES)
     run(
         spark,
         arguments.transfers,

@@ -39,6 +39,8 @@ COARSE_SHIFT = 20  # fine cells in a coarse cell, as a power of two
 # that the shifted logarithm is positive and its sign can carry the value's.
 LOG_OFFSET = 1100.0
 
+VALUE_KIND = -1  # distinct columns are kinds 0, 1, ...
+
 
 def _fine_cell(value: Column) -> Column:
     """Grid cell of a value; ``a <= b`` implies ``cell(a) <= cell(b)``."""
@@ -54,22 +56,13 @@ def entries(
 
     ``n`` is how often a value occurs, and 0 for a key or a missing value.
     """
-    nothing = F.lit(None)
-    unfolded = [
-        F.struct(
-            F.lit(kind).alias("kind"),
-            key.cast("string").alias("key"),
-            nothing.cast("double").alias("value"),
-        )
-        for kind, key in distinct.items()
-    ]
-    unfolded.append(
-        F.struct(
-            F.lit("value").alias("kind"),
-            nothing.cast("string").alias("key"),
-            value.cast("double").alias("value"),
-        )
-    )
+    no_key, no_value = F.lit(None).cast("string"), F.lit(None).cast("double")
+
+    def entry(kind: int, key: Column, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), key.alias("key"), value.alias("value"))
+
+    unfolded = [entry(kind, key.cast("string"), no_value) for kind, key in enumerate(distinct.values())]
+    unfolded.append(entry(VALUE_KIND, no_key, value.cast("double")))
     return (
         rows.select(*by, F.inline(F.array(*unfolded)))
         .groupBy(*by, "kind", "key", "value")
@@ -174,8 +167,8 @@ def profile(
     large = F.sum(usd.large_part(amount) * n)
     priced = F.nullif(F.sum("n"), F.lit(0))
     counts = [
-        F.count(F.when((F.col("kind") == kind) & (n == 0), F.col("key"))).alias(kind)
-        for kind in distinct
+        F.count(F.when((F.col("kind") == kind) & (n == 0), F.col("key"))).alias(name)
+        for kind, name in enumerate(distinct)
     ]
     summary = counted.groupBy(*by).agg(
         *counts,

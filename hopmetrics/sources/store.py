@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 from hopmetrics.functions.calendar import PARTITION_COLUMNS, day_start
 from hopmetrics.sources import schemas
 
+# Rows of the table are narrow, and an aggregation keeps several entries for each
+# in memory. Row groups of this size let a scan be split finely enough (with
+# spark.sql.files.maxPartitionBytes to match) for those entries to fit.
+ROW_GROUP_BYTES = 32 * 1024 * 1024
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
@@ -52,6 +57,7 @@ def write_bridges(
         .sortWithinPartitions(partition, "created_at")
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
+        .option("parquet.block.size", ROW_GROUP_BYTES)
         .partitionBy(partition)
         .parquet(path)
     )
