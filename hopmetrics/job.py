@@ -1,9 +1,11 @@
-"""Batch job: write the bridge table once, then every report from it.
+"""Batch job: bring the bridge table up to date, then write every report from it.
 
-    spark-submit hopmetrics/job.py --transfers T --messages M --out FOLDER
+    spark-submit hopmetrics/job.py --transfers T --messages M --table B --out FOLDER
 
-``T`` and ``M`` are Parquet paths or catalog tables; the folder gets the bridge
-table and one Parquet folder per report and view. It must not exist yet.
+``T`` and ``M`` are Parquet paths or catalog tables. The first run writes the
+bridge table ``B``; a later run with ``--since`` decodes only the feeds from that
+day on and replaces those partitions. ``FOLDER`` gets one Parquet folder per
+report and view, and must not hold them yet.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ if __package__ in (None, ""):
 
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
+from hopmetrics.functions.calendar import date_range  # noqa: E402
 from hopmetrics.operators import normalize  # noqa: E402
 from hopmetrics.plans import reports  # noqa: E402
 from hopmetrics.sources import feeds, store  # noqa: E402
@@ -47,10 +50,37 @@ def all_reports(bridges: DataFrame, grain: str, start, end, as_of=None) -> dict[
     return made
 
 
+def update_table(
+    spark: SparkSession,
+    transfers: str,
+    messages: str,
+    table: str,
+    routers=normalize.ROUTERS,
+    message_routers=None,
+    partition: str = "created_day",
+    since=None,
+) -> DataFrame:
+    """Write the whole bridge table, or its partitions from ``since`` on, and read it.
+
+    Records settle late, so ``since`` should reach back as far as they may change.
+    It is moved to the start of its partition: a partition is replaced as a whole.
+    """
+    sources = [feeds.read_transfers(spark, transfers), feeds.read_messages(spark, messages)]
+    mode = "errorifexists"
+    if since is not None:
+        first = store.partition_start(partition, since)
+        sources = [date_range(feed, first) for feed in sources]
+        mode = "overwrite"
+    relation = normalize.bridges(*sources, routers, message_routers)
+    store.write_bridges(relation, table, partition, mode)
+    return store.read_bridges(spark, table, partition)
+
+
 def run(
     spark: SparkSession,
     transfers: str,
     messages: str,
+    table: str,
     out: str,
     grain: str = "month",
     start="2023-01-01",
@@ -59,15 +89,11 @@ def run(
     routers=normalize.ROUTERS,
     message_routers=None,
     partition: str = "created_day",
+    since=None,
 ) -> None:
-    relation = normalize.bridges(
-        feeds.read_transfers(spark, transfers),
-        feeds.read_messages(spark, messages),
-        routers,
-        message_routers,
+    bridges = update_table(
+        spark, transfers, messages, table, routers, message_routers, partition, since
     )
-    store.write_bridges(relation, f"{out}/bridges", partition)
-    bridges = store.read_bridges(spark, f"{out}/bridges", partition)
     for name, report in all_reports(bridges, grain, start, end, as_of).items():
         store.write_report(report, f"{out}/{name}")
 
@@ -76,13 +102,15 @@ def main() -> None:
     parser = argparse.ArgumentParser(description=__doc__.splitlines()[0])
     parser.add_argument("--transfers", required=True)
     parser.add_argument("--messages", required=True)
-    parser.add_argument("--out", required=True)
+    parser.add_argument("--table", required=True, help="path of the bridge table")
+    parser.add_argument("--out", required=True, help="folder for the reports")
     parser.add_argument("--grain", default="month", choices=["day", "week", "month"])
     parser.add_argument("--start", default="2023-01-01")
     parser.add_argument("--end", default="2025-08-31")
     parser.add_argument("--as-of", help="last day of the trailing reports (today)")
     parser.add_argument("--router", action="append", help="router address, repeatable")
     parser.add_argument("--partition", default="created_day", choices=["created_day", "created_month"])
+    parser.add_argument("--since", help="first day to decode again (all)")
     arguments = parser.parse_args()
     spark = SparkSession.builder.appName("hopmetrics").getOrCreate()
     split_size = "spark.sql.files.maxPartitionBytes"
@@ -92,6 +120,7 @@ def main() -> None:
         spark,
         arguments.transfers,
         arguments.messages,
+        arguments.table,
         arguments.out,
         arguments.grain,
         arguments.start,
@@ -99,6 +128,7 @@ def main() -> None:
         arguments.as_of,
         arguments.router or normalize.ROUTERS,
         partition=arguments.partition,
+        since=arguments.since,
     )
 
 

@@ -7,13 +7,14 @@ each report by a column-pruned, partition-pruned scan of a narrow table.
 
 from __future__ import annotations
 
+import datetime as dt
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopmetrics.functions.calendar import PARTITION_COLUMNS, day_start
+from hopmetrics.functions.calendar import PARTITION_COLUMNS, as_date, day_start
 from hopmetrics.sources import schemas
 
 # Rows of the table are narrow, and an aggregation keeps several entries for each
@@ -39,6 +40,12 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def partition_start(partition: str, day: dt.date | str) -> dt.date:
+    """First day of the partition that holds ``day``."""
+    day = as_date(day)
+    return day.replace(day=1) if PARTITION_COLUMNS[partition] == "month" else day
+
+
 def write_bridges(
     bridges: DataFrame, path: str, partition: str = "created_day", mode: str = "errorifexists"
 ) -> None:

@@ -156,6 +156,7 @@ def test_job_writes_every_report(spark, raw, tmp_path):
         spark,
         f"{raw}/transfers",
         f"{raw}/messages",
+        str(tmp_path / "table"),
         out,
         start=RANGE[0],
         end=RANGE[1],
@@ -169,6 +170,34 @@ def test_job_writes_every_report(spark, raw, tmp_path):
         assert sorted(map(repr, written)) == sorted(map(repr, run(spark, raw, name).collect()))
 
 
+@pytest.mark.parametrize("partition", ["created_day", "created_month"])
+def test_late_records_are_picked_up(spark, tmp_path, partition):
+    import json
+
+    from conftest import ts
+
+    from hopmetrics import job
+    from hopmetrics.sources import schemas
+
+    def feed(rows, name):
+        whole = [(i, ts(day), "w", "0xr", status, "received", "{}") for i, day, status in rows]
+        path = str(tmp_path / name)
+        spark.createDataFrame(whole, schemas.TRANSFER_FEED).write.parquet(path)
+        return path
+
+    payload = json.dumps({"approved": {"returnValues": {"contractAddress": "0xr"}}})
+    message = [("m", ts("2024-03-20"), "executed", "received", payload)]
+    messages = str(tmp_path / "messages")
+    spark.createDataFrame(message, schemas.MESSAGE_FEED).write.parquet(messages)
+    first = [("a", "2024-01-31", "executed"), ("b", "2024-02-05", "executed"), ("c", "2024-02-20", "pending")]
+    late = [*first[:2], ("c", "2024-02-20", "executed"), ("d", "2024-03-01", "executed")]
+    table = str(tmp_path / "table")
+    arguments = {"routers": ["0xR"], "partition": partition}
+    job.update_table(spark, feed(first, "first"), messages, table, **arguments)
+    found = job.update_table(spark, feed(late, "late"), messages, table, since="2024-02-15", **arguments)
+    assert sorted(row.id for row in found.collect()) == ["a", "b", "c", "d", "m"]
+
+
 def test_feeds_from_the_catalog(spark, raw):
     from_path = feeds.read_messages(spark, f"{raw}/messages")
     from_path.createOrReplaceTempView("message_feed")
