@@ -70,10 +70,10 @@ ranged AS (
 USD_SUM = "CAST(round(sum(CAST(amount_usd AS DECIMAL(28,6)))) AS DOUBLE)"
 
 STATUS_JOIN = """
-first_tx AS (SELECT wallet, min(created_at) AS first_ts FROM lowered GROUP BY wallet),
+first_seen AS (SELECT wallet, min(created_at) AS first_ts FROM lowered GROUP BY wallet),
 joined AS (
   SELECT a.*, a.wallet = b.wallet AS is_new
-  FROM lowered a LEFT JOIN first_tx b ON a.created_at = b.first_ts),
+  FROM lowered a LEFT JOIN first_seen b ON a.created_at = b.first_ts),
 labelled AS (
   SELECT *, CASE WHEN is_new THEN 'New Users' ELSE 'Returning Users' END AS user_status
   FROM joined
@@ -137,26 +137,21 @@ SELECT {LABEL} AS symbol, count(DISTINCT id) AS bridges, {USD_SUM} AS volume
 FROM ranged WHERE raw_asset IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1"""
 
 TXN_BUCKETS = f"""{RELATION},
-overview AS (
-  SELECT wallet, CASE WHEN count(DISTINCT id) = 1 THEN 'A:1 Txn'
-    WHEN count(DISTINCT id) BETWEEN 2 AND 5 THEN 'B: 2-5 Txns'
-    WHEN count(DISTINCT id) BETWEEN 6 AND 10 THEN 'C: 6-10 Txns'
-    WHEN count(DISTINCT id) BETWEEN 11 AND 20 THEN 'D: 11-20 Txns'
-    WHEN count(DISTINCT id) BETWEEN 21 AND 100 THEN 'E: 21-100 Txns'
-    WHEN count(DISTINCT id) > 100 THEN 'F: >100 Txns' END AS txn_bucket
-  FROM ranged GROUP BY 1)
-SELECT txn_bucket, count(DISTINCT wallet) AS users FROM overview GROUP BY 1 ORDER BY 2 DESC, 1"""
+classes(txn_bucket, least, most) AS (VALUES
+  ('A:1 Txn', 1, 1), ('B: 2-5 Txns', 2, 5), ('C: 6-10 Txns', 6, 10),
+  ('D: 11-20 Txns', 11, 20), ('E: 21-100 Txns', 21, 100), ('F: >100 Txns', 101, NULL)),
+per_wallet AS (SELECT wallet, count(DISTINCT id) AS n FROM ranged GROUP BY 1)
+SELECT txn_bucket, count(DISTINCT wallet) AS users
+FROM per_wallet LEFT JOIN classes ON n >= least AND n <= coalesce(most, n)
+GROUP BY 1 ORDER BY 2 DESC, 1"""
 
 AMOUNT_BUCKETS = f"""{RELATION},
-overview AS (
-  SELECT id, CASE WHEN amount_usd <= 10 THEN 'A: V<=$10'
-    WHEN amount_usd > 10 AND amount_usd <= 100 THEN 'B: $10<V<=$100'
-    WHEN amount_usd > 100 AND amount_usd <= 1000 THEN 'C: $100<V<=$1K'
-    WHEN amount_usd > 1000 AND amount_usd <= 10000 THEN 'D: $1K<V<=$10K'
-    WHEN amount_usd > 10000 AND amount_usd <= 100000 THEN 'E: $10K<V<=$100K'
-    WHEN amount_usd > 100000 THEN 'F: V>$100K' END AS amount_bucket
-  FROM ranged WHERE amount_usd IS NOT NULL)
-SELECT amount_bucket, count(DISTINCT id) AS transactions FROM overview GROUP BY 1 ORDER BY 2 DESC, 1"""
+classes(amount_bucket, above, upto) AS (VALUES
+  ('A: V<=$10', NULL, 10), ('B: $10<V<=$100', 10, 100), ('C: $100<V<=$1K', 100, 1000),
+  ('D: $1K<V<=$10K', 1000, 10000), ('E: $10K<V<=$100K', 10000, 100000), ('F: V>$100K', 100000, NULL))
+SELECT amount_bucket, count(DISTINCT id) AS transactions
+FROM ranged JOIN classes ON amount_usd > coalesce(above, amount_usd - 1) AND amount_usd <= coalesce(upto, amount_usd)
+GROUP BY 1 ORDER BY 2 DESC, 1"""
 
 PERIOD_KPIS = f"""{RELATION}
 SELECT count(DISTINCT id) AS bridges, count(DISTINCT wallet) AS users, {USD_SUM} AS volume,
