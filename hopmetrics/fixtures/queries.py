@@ -40,10 +40,6 @@ def _report(name: str, *arguments) -> Query:
     return _on_bridges(getattr(reports, name), *arguments, columns=reports.COLUMNS[name])
 
 
-def _slices(name: str) -> Query:
-    return _on_bridges(reports.slices, name, START, END, columns=reports.COLUMNS[name])
-
-
 def scan(feed: Callable[[SparkSession, str], DataFrame]) -> Query:
     return lambda spark, sf_dir: feed(spark, sf_dir).groupBy("status", "simplified_status").agg(_rows())
 
@@ -197,6 +193,16 @@ MID_RANGE: dict[str, Query] = {
     if name not in TRAILING_REPORTS
 }
 
+
+
+def _view(report: str, view: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: view(REPORTS[report](spark, sf_dir))
+
+
+VIEWS: dict[str, Query] = {
+    name: _view(report, view) for report, views in reports.VIEWS.items() for name, view in views.items()
+}
+
 ACTIVITY = reports.COLUMNS["user_growth"]
 USD = reports.COLUMNS["status_volume"]
 
@@ -229,19 +235,10 @@ OPERATORS: dict[str, Query] = {
     "users_by_period": _on_bridges(cohorts.users_by_period, "month", START, END, columns=ACTIVITY),
     "new_users_by_period": _on_bridges(cohorts.new_users_by_period, "month", START, END, columns=ACTIVITY),
     "status_join": _on_bridges(cohorts.status_rows, columns=USD),
-    "status_volume_share": _on_bridges(reports.status_volume_share, "month", START, END, columns=USD),
-    "share_of_total": _slices("source_chain_breakdown"),
-    "dest_chain_share": _slices("dest_chain_breakdown"),
-    "asset_share": _slices("asset_breakdown"),
-    "amount_bucket_share": _slices("amount_buckets"),
-    "txn_bucket_share": _slices("txn_count_buckets"),
-    "status_share": _slices("status_volume"),
-    "status_volume_wide": _on_bridges(reports.status_volume_wide, "month", START, END, columns=USD),
-    "status_volume_total": _on_bridges(reports.status_volume_total, START, END, columns=USD),
     "asset_label": _on_bridges(asset_label, columns=("raw_asset",)),
     "bridge_table": bridge_table,
 }
 
 
 def queries() -> dict[str, Query]:
-    return {**REPORTS, **OTHER_GRAINS, **MID_RANGE, **OPERATORS}
+    return {**REPORTS, **OTHER_GRAINS, **MID_RANGE, **VIEWS, **OPERATORS}

@@ -13,6 +13,7 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+from concurrent.futures import ThreadPoolExecutor
 
 if __package__ in (None, ""):
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -25,19 +26,19 @@ from hopmetrics.plans import reports  # noqa: E402
 from hopmetrics.sources import feeds, store  # noqa: E402
 
 
+CONCURRENT_REPORTS = 4
+
+
 def all_reports(bridges: DataFrame, grain: str, start, end, as_of=None) -> dict[str, DataFrame]:
-    """Every report and view by name, not yet run."""
-    made = {
+    """Every report by name, not yet run."""
+    return {
         "period_kpis": reports.period_kpis(bridges, start, end),
         "kpis_7d": reports.kpis_7d(bridges, as_of),
         "kpis_30d": reports.kpis_30d(bridges, as_of),
         "activity_by_period": reports.activity_by_period(bridges, grain, start, end),
         "user_growth": reports.user_growth(bridges, grain, start, end),
         "status_volume_by_period": reports.status_volume_by_period(bridges, grain, start, end),
-        "status_volume_share": reports.status_volume_share(bridges, grain, start, end),
-        "status_volume_wide": reports.status_volume_wide(bridges, grain, start, end),
         "status_volume": reports.status_volume(bridges, start, end),
-        "status_volume_total": reports.status_volume_total(bridges, start, end),
         "source_chain_status_users": reports.source_chain_status_users(bridges, start, end),
         "txn_count_buckets": reports.txn_count_buckets(bridges, start, end),
         "amount_buckets": reports.amount_buckets(bridges, start, end),
@@ -45,9 +46,23 @@ def all_reports(bridges: DataFrame, grain: str, start, end, as_of=None) -> dict[
         "source_chain_breakdown": reports.source_chain_breakdown(bridges, start, end),
         "dest_chain_breakdown": reports.dest_chain_breakdown(bridges, start, end),
     }
-    for name in reports.SLICED:
-        made[f"{name}_slices"] = reports.slices(bridges, name, start, end)
-    return made
+
+
+def write_reports(spark: SparkSession, made: dict[str, DataFrame], out: str) -> None:
+    """Write each report, and its views from the written rows.
+
+    A few reports run side by side, so that the short last stages of one do not
+    leave the cluster idle.
+    """
+
+    def write(name: str) -> None:
+        store.write_report(made[name], f"{out}/{name}")
+        rows = spark.read.schema(made[name].schema).parquet(f"{out}/{name}")
+        for view, build in reports.VIEWS.get(name, {}).items():
+            store.write_report(build(rows), f"{out}/{view}")
+
+    with ThreadPoolExecutor(CONCURRENT_REPORTS) as pool:
+        list(pool.map(write, made))
 
 
 def update_table(
@@ -94,8 +109,7 @@ def run(
     bridges = update_table(
         spark, transfers, messages, table, routers, message_routers, partition, since
     )
-    for name, report in all_reports(bridges, grain, start, end, as_of).items():
-        store.write_report(report, f"{out}/{name}")
+    write_reports(spark, all_reports(bridges, grain, start, end, as_of), out)
 
 
 def main() -> None:

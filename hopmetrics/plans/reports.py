@@ -8,6 +8,8 @@ is day, week or month. Ties in a descending order are broken by the key.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -185,39 +187,42 @@ def dest_chain_breakdown(bridges: DataFrame, start, end) -> DataFrame:
     return _chain_breakdown(bridges, "destination_chain", start, end)
 
 
-# Views: what the charts add to a report.
+# Views: what the charts add to a finished report (a few rows).
 
 
-def status_volume_share(bridges: DataFrame, grain: str, start, end) -> DataFrame:
-    """Percentage of each bucket's volume by user status."""
-    volume = cohorts.status_volume(bridges, start, end, grain)
+def status_volume_share(volume: DataFrame) -> DataFrame:
+    """``status_volume_by_period`` with the percentage of each bucket's volume."""
     return shares.share_within(volume, ["date"], "volume").orderBy("date", "user_status")
 
 
-def status_volume_wide(bridges: DataFrame, grain: str, start, end) -> DataFrame:
-    """Volume per bucket with one column per user status."""
-    volume = cohorts.status_volume(bridges, start, end, grain)
+def status_volume_wide(volume: DataFrame) -> DataFrame:
+    """``status_volume_by_period`` with one column per user status."""
     names = {cohorts.NEW: "new_volume", cohorts.RETURNING: "returning_volume"}
     return shares.widen(volume, "date", "user_status", names, "volume").orderBy("date")
 
 
-def status_volume_total(bridges: DataFrame, start, end) -> DataFrame:
-    """Volume by user status with 0 instead of a missing volume."""
-    return shares.total_by(status_volume(bridges, start, end), "user_status", "volume")
+def status_volume_total(volume: DataFrame) -> DataFrame:
+    """``status_volume`` with 0 instead of a missing volume."""
+    return shares.total_by(volume, "user_status", "volume")
 
 
-# Reports shown as shares of the whole: report, slice name and sizes.
-SLICED = {
-    "status_volume": (status_volume, "user_status", ["volume"]),
-    "txn_count_buckets": (txn_count_buckets, "txn_bucket", ["users"]),
-    "amount_buckets": (amount_buckets, "amount_bucket", ["transactions"]),
-    "asset_breakdown": (asset_breakdown, "symbol", ["volume", "bridges"]),
-    "source_chain_breakdown": (source_chain_breakdown, "source_chain", ["volume", "bridges"]),
-    "dest_chain_breakdown": (dest_chain_breakdown, "destination_chain", ["volume", "bridges"]),
-}
+def slices(key: str, *sizes: str) -> Callable[[DataFrame], DataFrame]:
+    """View of a report as shares of the whole: a slice name and its sizes."""
+    return lambda report: shares.share_of_total(report.select(key, *sizes), sizes)
 
 
-def slices(bridges: DataFrame, name: str, start, end) -> DataFrame:
-    """A report of ``SLICED`` with each slice's percentage of the whole."""
-    report, key, sizes = SLICED[name]
-    return shares.share_of_total(report(bridges, start, end).select(key, *sizes), sizes)
+VIEWS: dict[str, dict[str, Callable[[DataFrame], DataFrame]]] = {
+    "status_volume_by_period": {
+        "status_volume_share": status_volume_share,
+        "status_volume_wide": status_volume_wide,
+    },
+    "status_volume": {
+        "status_volume_total": status_volume_total,
+        "status_share": slices("user_status", "volume"),
+    },
+    "txn_count_buckets": {"txn_bucket_share": slices("txn_bucket", "users")},
+    "amount_buckets": {"amount_bucket_share": slices("amount_bucket", "transactions")},
+    "asset_breakdown": {"asset_share": slices("symbol", "volume", "bridges")},
+    "source_chain_breakdown": {"share_of_total": slices("source_chain", "volume", "bridges")},
+    "dest_chain_breakdown": {"dest_chain_share": slices("destination_chain", "volume", "bridges")},
+}

@@ -168,6 +168,9 @@ def test_job_writes_every_report(spark, raw, tmp_path):
     for name in reports.COLUMNS:
         written = spark.read.parquet(f"{out}/{name}").collect()
         assert sorted(map(repr, written)) == sorted(map(repr, run(spark, raw, name).collect()))
+        for view, build in reports.VIEWS.get(name, {}).items():
+            written = spark.read.parquet(f"{out}/{view}").collect()
+            assert sorted(map(repr, written)) == sorted(map(repr, build(run(spark, raw, name)).collect()))
 
 
 @pytest.mark.parametrize("partition", ["created_day", "created_month"])
