@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hopmetrics.llm import chat, line_dedup, sharding
+from hopmetrics.llm import chat, decontamination, licenses, line_dedup, sharding
 
 QUERIES = {
     "op1_sharding": sharding,
     "op3_chat": chat,
+    "op7_license_scan": licenses,
+    "op8_decontamination": decontamination,
     "op10_line_dedup": line_dedup,
 }
 
