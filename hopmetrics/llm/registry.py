@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hopmetrics.llm import chat, decontamination, licenses, line_dedup, sharding
+from hopmetrics.llm import chat, decontamination, licenses, line_dedup, minhash, packing, sharding
 
 QUERIES = {
     "op1_sharding": sharding,
     "op3_chat": chat,
+    "op4_minhash": minhash,
     "op7_license_scan": licenses,
     "op8_decontamination": decontamination,
+    "op9_packing": packing,
     "op10_line_dedup": line_dedup,
 }
 
