@@ -50,17 +50,23 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(df_or_path: str, spark: SparkSession) -> None:
-    """Delete one table of ``durable``."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df_or_path)
+def forget(df: DataFrame) -> None:
+    """Delete a table of ``durable`` that nothing reads any more."""
+    for file in df.inputFiles()[:1]:
+        for spark, path in _tables:
+            if path.split("/")[-1] in file:
+                _remove(spark, path)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _remove_all() -> None:
     for spark, path in _tables:
         if spark.sparkContext._jsc is not None:
-            remove(path, spark)
+            _remove(spark, path)
     _tables.clear()
 
 

@@ -6,16 +6,18 @@ retained values bring nodes together; the sketch of the union estimates a pair's
 similarity, and the full sets of those that may reach the threshold are compared.
 
 Completeness. Two sets with similarity ``THRESHOLD`` share at least ``least_shared(size)``
-retained values (exactly so for sets within a sketch, else but for one pair in 1e9 at the
+retained values (exactly so for sets within a sketch, else but for one pair in 1e7 at the
 threshold itself). So it is enough to post ``size - least_shared(size) + 1`` values of
 each sketch, if all sketches are cut in one order; the order puts frequent values last,
 which keeps passages that many documents share out of the lists.
 
-Skew. Lists are never paired in full at first: each round compares a list's members with
-one of them (its hub) only, if they are not in one component yet. After ``ROUNDS``
-rounds the pairs of lists that still hold several components are compared, across
-components only. A pair within a component changes nothing, so no link is lost that
-matters for the components.
+Skew. Lists are never paired in full at first: a list's members are compared with
+``HUBS`` of them, estimate first, and the similar ones become components. What a list then
+still holds in several components goes on in groups (nodes that such lists connect): a
+group is cut into blocks by set size, and each pair of blocks whose sizes are compatible
+is compared by one task on full sets, which returns a forest of links. A pair within
+a component changes nothing, so no link that matters is lost, and the rows made grow with
+the members of lists, not with their pairs.
 
 Cases: a null or blank text has no shingles, is linked with nothing, and is kept. Rows
 with one ``doc_id`` count as one document in the ids of components; null ids come last and
@@ -37,10 +39,12 @@ from pyspark.sql import functions as F
 
 from hopmetrics.llm import common, words
 
-K = 64
+K = 96
 #: Similarity in per cent: 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 85
-ROUNDS = 3
+HUBS = 3
+#: Nodes in a block of a group.
+BLOCK = 500
 #: At most so many values are known as frequent.
 FREQUENT = 20_000
 
@@ -54,14 +58,14 @@ def least_shared(size: int, k: int = K, percent: int = THRESHOLD) -> int:
     p, total = percent / 100, 0.0
     for t in range(size + 1):
         total += comb(size, t) * p**t * (1 - p) ** (size - t)
-        if total > 1e-9:
+        if total > 1e-7:
             return max(t, 1)
     return 1
 
 
 def _sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc, n (shingles), h1, h2 (hash of the set), sketch (the k smallest, as bytes)."""
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sketch", pa.binary())])
+    """doc, body, n (shingles), h1, h2 (hash of the set), sketch (the k smallest, as bytes)."""
+    schema = pa.schema([("doc", pa.int64()), ("body", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,6 +75,7 @@ def _sketches(docs: DataFrame, k: int) -> DataFrame:
                 yield pa.record_batch(
                     [
                         part.column(0),
+                        part.column(2),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(h1, pa.int64()),
                         pa.array(h2, pa.int64()),
@@ -79,8 +84,9 @@ def _sketches(docs: DataFrame, k: int) -> DataFrame:
                     schema=schema,
                 )
 
-    source = docs.select(common.doc_key().alias("doc"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc long, n long, h1 long, h2 long, sketch binary")
+    text = common.text_or_empty()
+    source = docs.select(common.doc_key().alias("doc"), text.alias("text"), F.xxhash64(text).alias("body"))
+    return source.mapInArrow(run, "doc long, body long, n long, h1 long, h2 long, sketch binary")
 
 
 def _parts(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
@@ -99,22 +105,23 @@ def _set_hashes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return one.view(np.int64), two.view(np.int64)
 
 
-def _values(nodes: DataFrame) -> DataFrame:
-    """All retained values, a row for each node's."""
+def _frequent(nodes: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent values, ascending, and their counts; no more than ``most`` of them.
+
+    Counted in two steps; what occurs once in a batch does not leave its task. The counts
+    only order values, and any order serves, so that they may lack one per batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             joined = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64)
-            yield pa.record_batch([pa.array(joined)], names=["value"])
-
-    return nodes.select("sketch").mapInArrow(run, "value long")
+            values, counts = np.unique(joined, return_counts=True)
+            yield pa.record_batch([pa.array(values[counts > 1]), pa.array(counts[counts > 1])], names=["value", "n"])
 
-
-def _frequent(nodes: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent values, ascending, and their counts; no more than ``most`` of them."""
     total = nodes.agg(F.sum(F.octet_length("sketch")).alias("n")).first().n or 0
     least = max(16, total // 8 // most + 1)  # at most total / least values occur so often
-    rows = _values(nodes).groupBy("value").agg(F.count("*").alias("n")).filter(F.col("n") >= least).collect()
+    counts = nodes.select("sketch").mapInArrow(run, "value long, n long")
+    rows = counts.groupBy("value").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).collect()
     rows.sort()
     return np.array([r.value for r in rows], np.int64), np.array([r.n for r in rows], np.int64)
 
@@ -158,30 +165,23 @@ def _pair(a: Column, b: Column) -> list[Column]:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, full: the whole shingle set of each wanted node (doc, h1, h2, node), as bytes."""
+    """node, full: the whole shingle set of each wanted node (doc, body, node), as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch):
                 sets = words.shingle_sets(part.column(1))
-                h1, h2 = _set_hashes(sets)
-                # Rows with the same id may have other texts.
-                same = (h1 == part.column(2).to_numpy()) & (h2 == part.column(3).to_numpy())
-                yield pa.record_batch(
-                    [
-                        pa.array(part.column(0).to_numpy()[same]),
-                        pa.array([s.tobytes() for s, ok in zip(sets, same, strict=True) if ok], pa.binary()),
-                    ],
-                    names=["node", "full"],
-                )
-
-    texts = docs.select(common.doc_key().alias("doc"), F.col("text").cast("string").alias("text"))
-    return (
-        texts.join(wanted, "doc")
-        .select("node", "text", "h1", "h2")
-        .mapInArrow(run, "node long, full binary")
-        .dropDuplicates(["node"])
+                full = pa.array([s.tobytes() for s in sets], pa.binary())
+                yield pa.record_batch([part.column(0), full], names=["node", "full"])
+
+    text = common.text_or_empty()
+    ids = common.durable(wanted.select("doc", "body").distinct())
+    # The planner sees the table's size and moves the texts only if it must.
+    texts = docs.select(common.doc_key().alias("doc"), F.xxhash64(text).alias("body"), text.alias("text")).join(
+        ids, ["doc", "body"], "left_semi"
     )
+    once = texts.groupBy("doc", "body").agg(F.first("text").alias("text"))  # repeated rows are one
+    return once.join(wanted, ["doc", "body"]).select("node", "text").mapInArrow(run, "node long, full binary")
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -264,6 +264,80 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
+def _forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that connect all similar sets, as a forest."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    values, index = np.unique(np.concatenate(sets), return_inverse=True)
+    rows = np.repeat(np.arange(len(sets)), sizes)
+    shared = np.zeros((len(sets), len(sets)), np.int64)
+    step = 4096  # columns at once
+    order = np.argsort(index, kind="stable")
+    # Values of one set only count for nothing.
+    often = np.bincount(index) > 1
+    column = np.cumsum(often) - 1
+    keep = order[often[index[order]]]
+    rows, columns = rows[keep], column[index[keep]]
+    for low in range(0, int(often.sum()), step):
+        a, b = np.searchsorted(columns, [low, low + step])
+        part = np.zeros((len(sets), step), np.float32)
+        part[rows[a:b], columns[a:b] - low] = 1
+        shared += np.rint(part @ part.T).astype(np.int64)
+    union = sizes[:, None] + sizes[None] - shared
+    similar = np.triu(100 * shared >= percent * union, 1)
+    parent = list(range(len(sets)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    links = []
+    for x, y in zip(*np.nonzero(similar), strict=True):
+        rx, ry = root(int(x)), root(int(y))
+        if rx != ry:
+            parent[rx] = ry
+            links.append((int(x), int(y)))
+    return links
+
+
+def _block_links(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within groups; members: grp, node, n."""
+    # A block is a run of a group's nodes in order of set size. Nodes are numbered by size with
+    # the counts of size classes, a row per class, so that no task sorts a whole group.
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int")
+    salt = F.pmod(F.xxhash64("node"), F.lit(1 << 20))
+    classed = members.withColumns({"class": step, "salt": salt})
+    counts = classed.groupBy("grp", "class").agg(F.count("*").alias("c"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("c") / BLOCK)).cast("int")
+    # Similar sets are in one class or in neighbouring ones; a class has blocks of its own.
+    x = counts.select("grp", F.col("class").alias("cx"), blocks.alias("bx"))
+    y = counts.select("grp", F.col("class").alias("cy"), blocks.alias("by"))
+    placed = classed.join(counts.select("grp", "class", blocks.alias("blocks")), ["grp", "class"]).withColumn(
+        "at", F.pmod(F.col("salt"), F.col("blocks")).cast("int")
+    )
+    pairs = x.join(y, "grp").filter("cy = cx or cy = cx + 1")
+    same = (F.col("cx") == F.col("cy"))
+    tasks = (
+        pairs.select("*", F.explode(F.sequence(F.lit(0), F.col("bx") - 1)).alias("ax"))
+        .select("*", F.explode(F.sequence(F.when(same, F.col("ax")).otherwise(0), F.col("by") - 1)).alias("ay"))
+        .select("grp", "cx", "ax", "cy", "ay", F.monotonically_increasing_id().alias("task"))
+    )
+    tasks = common.durable(tasks)
+    ends = tasks.select("task", "grp", F.col("cx").alias("class"), F.col("ax").alias("at")).unionByName(
+        tasks.select("task", "grp", F.col("cy").alias("class"), F.col("ay").alias("at"))
+    ).distinct()
+    rows = placed.join(ends, ["grp", "class", "at"]).select("task", "node").join(full, "node")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("node")
+        nodes = frame["node"].to_numpy()
+        links = _forest([np.frombuffer(s, np.uint64) for s in frame["full"]], percent) if len(frame) > 1 else []
+        return pd.DataFrame({"a": [nodes[x] for x, _ in links], "b": [nodes[y] for _, y in links]}, dtype="int64")
+
+    return rows.groupBy("task").applyInPandas(run, "a long, b long")
+
+
 def components(docs: DataFrame, k: int = K, percent: int = THRESHOLD) -> DataFrame:
     """doc, n_shingles, component of each row; ``doc`` and ``component`` as ``common.doc_key``."""
     sketches = common.durable(_sketches(docs, k))
@@ -271,62 +345,56 @@ def components(docs: DataFrame, k: int = K, percent: int = THRESHOLD) -> DataFra
     nodes = common.durable(
         sketches.filter("n > 0")
         .groupBy("h1", "h2", "n")
-        .agg(F.min("doc").alias("doc"), F.first("sketch").alias("sketch"))
-        .withColumn("node", F.monotonically_increasing_id())
+        .agg(F.min(F.struct("doc", "body")).alias("row"), F.first("sketch").alias("sketch"))
+        .select("h1", "h2", "n", "row.*", "sketch", F.monotonically_increasing_id().alias("node"))
     )
-    postings = common.durable(_postings(nodes, _frequent(nodes, FREQUENT), k, percent))
-    lists = postings.groupBy("value").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("hub")).filter("c > 1")
-    met = common.durable(postings.join(lists, "value").select("value", "node", "n", "hub"))
-    wanted = met.select("node").distinct()
-    full = common.durable(_full_sets(docs, nodes.join(wanted, "node").select("doc", "h1", "h2", "node")))
-
-    def links(pairs: DataFrame) -> DataFrame:
-        # A pair meets in many lists.
-        return common.durable(_verified(_estimated(pairs.distinct(), nodes, k, percent), full, percent))
-
-    hub = F.col("hub")
-    first = met.filter((F.col("node") != hub["node"]) & _similar_sizes(F.col("n"), hub["n"], percent))
-    labels = common.durable(wanted.select("node", F.col("node").alias("label")))
-    labels = _relabelled(labels, links(first.select(*_pair(F.col("node"), hub["node"]))))
-    for turn in range(1, ROUNDS + 1):
-        now = met.select("value", "node", "n").join(labels, "node")
-        open_lists = (
-            now.groupBy("value")
-            .agg(
-                F.min("label").alias("low"),
-                F.max("label").alias("high"),
-                F.min(F.struct(F.xxhash64(F.lit(turn), "node"), "node", "n", "label")).alias("hub"),
-            )
-            .filter("low < high")
-            .select("value", "hub")
+    rows = common.durable(sketches.select("doc", "n", "h1", "h2"))
+    common.forget(sketches)
+    postings = _postings(nodes, _frequent(nodes, FREQUENT), k, percent)
+    hubs = F.array(
+        *(F.min(F.struct(F.xxhash64(F.lit(h), "node").alias("key"), "node", "n")) for h in range(HUBS))
+    )
+    lists = postings.groupBy("value").agg(F.count("*").alias("c"), hubs.alias("hubs")).filter("c > 1")
+    met = common.durable(postings.join(lists, "value"))
+    sketched = common.durable(nodes.join(met.select("node").distinct(), "node").select("node", "sketch"))
+    starred = met.select("node", "n", F.explode("hubs").alias("hub"))
+    first = (
+        starred.filter(
+            (F.col("node") != F.col("hub.node")) & _similar_sizes(F.col("n"), F.col("hub.n"), percent)
         )
-        # Only lists with several components go on; after the last round, all their pairs.
-        met = common.durable(now.join(open_lists, "value"))
-        if met.isEmpty():
-            break
-        if turn < ROUNDS:
-            apart = met.filter(
-                (F.col("label") != hub["label"]) & _similar_sizes(F.col("n"), hub["n"], percent)
-            ).select(*_pair(F.col("node"), hub["node"]))
-        else:
-            x, y = met.alias("x"), met.alias("y")
-            apart = x.join(
-                y,
-                (F.col("x.value") == F.col("y.value"))
-                & (F.col("x.node") < F.col("y.node"))
-                & (F.col("x.label") != F.col("y.label"))
-                & _similar_sizes(F.col("x.n"), F.col("y.n"), percent),
-            ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        labels = _relabelled(labels, links(apart))
+        .select(*_pair(F.col("node"), F.col("hub.node")))
+        .distinct()  # a pair meets in many lists
+    )
+    near = common.durable(_estimated(first, sketched, k, percent))
+    place = nodes.select("node", "doc", "body")
+    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    full = common.durable(_full_sets(docs, common.durable(place.join(ends, "node"))))
+    links = common.durable(_verified(near, full, percent))
+    labels = met.select("node").distinct().select("node", F.col("node").alias("label"))
+    labels = _relabelled(common.durable(labels), links)
+
+    # Lists with nodes in several components that have not been compared as hubs.
+    is_hub = F.exists("hubs", lambda h: h["node"] == F.col("node"))
+    rest = met.filter(~is_hub).select("value", "node", "n").join(labels, "node")
+    still = (
+        rest.groupBy("value")
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("first"))
+        .filter("low < high")
+    )
+    rest = common.durable(rest.join(still.select("value", "first"), "value").select("node", "n", "first"))
+    if not rest.isEmpty():
+        groups = connected(rest.select(F.col("node").alias("a"), F.col("first").alias("b")))
+        members = common.durable(
+            rest.select("node", "n").distinct().join(groups, "node").select(F.col("label").alias("grp"), "node", "n")
+        )
+        more = common.durable(place.join(members.join(full, "node", "left_anti").select("node"), "node"))
+        whole = full if more.isEmpty() else full.unionByName(common.durable(_full_sets(docs, more)))
+        labels = _relabelled(labels, common.durable(_block_links(members, whole, percent)))
     grouped = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = grouped.groupBy("label").agg(F.min("doc").alias("component"))
     by_set = common.durable(grouped.join(smallest, "label").select("h1", "h2", "n", "component"))
-    return sketches.join(by_set, ["h1", "h2", "n"], "left").select(
-        "doc",
-        F.col("n").alias("n_shingles"),
-        F.coalesce("component", "doc").alias("component"),
-        "h1",
-        "h2",
+    return rows.join(by_set, ["h1", "h2", "n"], "left").select(
+        "doc", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component")
     )
 
 

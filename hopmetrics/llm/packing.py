@@ -7,8 +7,9 @@ the plan takes the longest length left and a multiset of the others that fills t
 window closest to its capacity: a bitset holds every sum that the lengths reach within
 their counts, and the counts taken are read back from the bitsets. The same multiset is
 used as often as the counts allow, so every step at least halves the count of a length: the
-plan's size follows from the window's, times the logarithm of the number of pieces. Pieces of a length are numbered across the partitions, and the plan's
-ranges of numbers say which sequence and offset each one gets.
+plan's size follows from the window's, times the logarithm of the number of pieces. Pieces
+of a length are numbered across the partitions, and the plan's ranges of numbers say which
+sequence and offset each one gets.
 
 Cases: a null text is empty and gives only the end token. Rows with the same ``doc_id`` are
 packed each on its own. Texts of any length are read whole. An empty table gives an empty
@@ -17,6 +18,9 @@ result. Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import itertools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,8 +39,34 @@ END_ID = 2
 CACHE_WORDS = 500_000
 
 
+class _Numbers(dict):
+    """Number of each part of a text, given when it is first asked for."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, part: bytes) -> int:
+        self[part] = number = len(self) + 1
+        self.new.append(part)
+        return number
+
+
+#: A letter, one mark, then white space or the end: the tokenizer cuts before the mark.
+_MARK = re.compile(rb"(?<=[a-z])([.,])(?=[ \t\n\r\x0b\x0c]|\Z)")
+#: Lower-case letters of Latin-1 only: such a part is one word of the tokenizer's model.
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The public byte-level alphabet: printable bytes stand for themselves, others follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class Encoder:
-    """Token ids of texts, word by word.
+    """Token ids of texts, part by part.
 
     The tokenizer takes white space as a border and drops it, so a text's ids are those of
     its parts between ASCII white space in a row, and most parts have been seen before.
@@ -47,42 +77,43 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id = end_id
+        self.letters = _byte_letters()
         self._forget()
 
     def _forget(self) -> None:
-        # Number of each known part; part 0 is the end token. Ids of part k are
-        # flat[begin[k] : begin[k + 1]].
-        self.known: dict[bytes, int] = {}
+        # Part 0 is the end token. Ids of part k are flat[begin[k] : begin[k + 1]].
+        self.known = _Numbers()
         self.flat = np.array([self.end_id], np.uint32)
         self.begin = np.array([0, 1], np.int64)
 
-    def _learn(self, parts: list[bytes]) -> None:
-        step = 20_000
-        for i in range(0, len(parts), step):
-            some = parts[i : i + step]
-            texts = [part.decode() for part in some]
-            ids = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-            for part in some:
-                self.known[part] = len(self.known) + 1
-            ends = np.cumsum([len(x) for x in ids]) + len(self.flat)
-            self.begin = np.concatenate([self.begin, ends])
-            self.flat = np.concatenate([self.flat, *(np.array(x, np.uint32) for x in ids)])
+    def _ids(self, part: bytes) -> list[int]:
+        text = part.decode()
+        if _PLAIN.fullmatch(text):  # what stands before the model changes nothing else here
+            return [token.id for token in self.tokenizer.model.tokenize("".join(map(self.letters.__getitem__, part)))]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self) -> None:
+        ids = [self._ids(part) for part in self.known.new]
+        self.known.new.clear()
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.begin = np.concatenate([self.begin, np.cumsum(sizes) + len(self.flat)])
+        more = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        self.flat = np.concatenate([self.flat, more])
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each with its end token, and where each text begins."""
-        split = [text.encode().split() for text in texts]
-        new = {part for parts in split for part in parts}
-        if len(self.known) + len(new) > CACHE_WORDS:
-            fresh = new - self.known.keys()
-            if len(self.known) + len(fresh) > CACHE_WORDS:
-                self._forget()
-        self._learn(list(new - self.known.keys()))
+        if len(self.known) > CACHE_WORDS:
+            self._forget()
         number: list[int] = []
         ends = np.zeros(len(texts) + 1, np.int64)
-        for i, parts in enumerate(split):
-            number.extend(map(self.known.__getitem__, parts))
+        for i, text in enumerate(texts):
+            raw = text.encode()
+            if b"<|" not in raw:  # special tokens are case-sensitive
+                raw = _MARK.sub(rb" \1", raw.lower())
+            number.extend(map(self.known.__getitem__, raw.split()))
             number.append(0)
             ends[i + 1] = len(number)
+        self._learn()
         index = np.array(number, np.int64)
         begin, sizes = self.begin[index], self.begin[index + 1] - self.begin[index]
         upto = np.zeros(len(index) + 1, np.int64)
@@ -91,7 +122,13 @@ class Encoder:
         return ids, upto[ends]
 
 
-def _batches(texts: list[str], most: int = 4_000_000) -> Iterator[list[str]]:
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str, end_id: int) -> Encoder:
+    """One for all tasks of a Python worker: the files are read and words learned once."""
+    return Encoder(path, end_id)
+
+
+def _batches(texts: list[str], most: int = 1_000_000) -> Iterator[list[str]]:
     """Texts in a row with about that many characters in each list."""
     batch, size = [], 0
     for text in texts:
@@ -113,7 +150,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     """doc_id, start, length, ids_crc32, doc_tokens: full windows, then the rest of each row."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer, end_id)
+        encode = _encoder(tokenizer, end_id)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             texts = [text or "" for text in batch.column(1).to_pylist()]

@@ -6,12 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hopmetrics.llm import chat, decontamination, licenses, line_dedup, minhash, packing, sharding
+from hopmetrics.llm import (
+    chat,
+    decontamination,
+    embeddings_index,
+    licenses,
+    line_dedup,
+    minhash,
+    packing,
+    sharding,
+    toxicity,
+)
 
 QUERIES = {
     "op1_sharding": sharding,
+    "op2_embeddings_index": embeddings_index,
     "op3_chat": chat,
     "op4_minhash": minhash,
+    "op5_toxicity": toxicity,
     "op7_license_scan": licenses,
     "op8_decontamination": decontamination,
     "op9_packing": packing,
