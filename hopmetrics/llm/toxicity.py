@@ -156,6 +156,18 @@ def _matcher(model: Model) -> Matcher:
     return _matchers[model.key]
 
 
+class _Seen(dict):
+    """Codes of the words met so far."""
+
+    def __init__(self, matcher: Matcher) -> None:
+        super().__init__()
+        self.matcher = matcher
+
+    def __missing__(self, token: str) -> int:
+        self[token] = code = self.matcher._look_up(token.strip(STRIP))
+        return code
+
+
 class Matcher:
     """Code of each word: kind and term; remembers the words it has seen."""
 
@@ -174,7 +186,7 @@ class Matcher:
         self.head_sizes = sorted({len(h) for h in self.heads})
         self.tail_sizes = sorted({len(t) for t in self.tails})
         self.sizes = {len(t) + d for t in self.terms if len(t) >= FUZZY_FROM for d in (-1, 0, 1)}
-        self.seen: dict[str, int] = {}
+        self.seen = _Seen(self)
 
     def near(self, word: str) -> int:
         """Number of the term that the word misspells, or -1."""
@@ -205,8 +217,6 @@ class Matcher:
         seen = self.seen
         if len(seen) > CACHE_WORDS:
             seen.clear()
-        for token in set(tokens) - seen.keys():
-            seen[token] = self._look_up(token.strip(STRIP))
         return np.fromiter(map(seen.__getitem__, tokens), np.int64, len(tokens))
 
 
