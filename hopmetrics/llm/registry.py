@@ -14,6 +14,7 @@ from hopmetrics.llm import (
     line_dedup,
     minhash,
     packing,
+    repeats,
     sharding,
     toxicity,
 )
@@ -24,6 +25,7 @@ QUERIES = {
     "op3_chat": chat,
     "op4_minhash": minhash,
     "op5_toxicity": toxicity,
+    "op6_repeats": repeats,
     "op7_license_scan": licenses,
     "op8_decontamination": decontamination,
     "op9_packing": packing,
