@@ -264,8 +264,8 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def _forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect all similar sets, as a forest."""
+def _shared(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the sets, and of all their intersections."""
     sizes = np.array([len(s) for s in sets], np.int64)
     values, index = np.unique(np.concatenate(sets), return_inverse=True)
     rows = np.repeat(np.arange(len(sets)), sizes)
@@ -282,6 +282,12 @@ def _forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         part = np.zeros((len(sets), step), np.float32)
         part[rows[a:b], columns[a:b] - low] = 1
         shared += np.rint(part @ part.T).astype(np.int64)
+    return sizes, shared
+
+
+def _forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that connect all similar sets, as a forest."""
+    sizes, shared = _shared(sets)
     union = sizes[:, None] + sizes[None] - shared
     similar = np.triu(100 * shared >= percent * union, 1)
     parent = list(range(len(sets)))
@@ -301,8 +307,8 @@ def _forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return links
 
 
-def _block_links(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within groups; members: grp, node, n."""
+def _blocks(members: DataFrame, percent: int) -> DataFrame:
+    """task, node: the pairs of blocks of each group, each with its nodes; members: grp, node, n."""
     # A block is a run of a group's nodes in order of set size. Nodes are numbered by size with
     # the counts of size classes, a row per class, so that no task sorts a whole group.
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int")
@@ -327,7 +333,26 @@ def _block_links(members: DataFrame, full: DataFrame, percent: int) -> DataFrame
     ends = tasks.select("task", "grp", F.col("cx").alias("class"), F.col("ax").alias("at")).unionByName(
         tasks.select("task", "grp", F.col("cy").alias("class"), F.col("ay").alias("at"))
     ).distinct()
-    rows = placed.join(ends, ["grp", "class", "at"]).select("task", "node").join(full, "node")
+    return placed.join(ends, ["grp", "class", "at"]).select("task", "node")
+
+
+def _promising(members: DataFrame, labels: DataFrame, sketched: DataFrame, k: int, percent: int) -> DataFrame:
+    """Nodes of groups whose sketch shares enough with one of another component."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        sizes, shared = _shared([np.frombuffer(s, np.uint64) for s in frame["sketch"]])
+        least = np.array([least_shared(int(size), k, percent) for size in sizes])
+        label = frame["label"].to_numpy()
+        near = (shared >= np.minimum(least[:, None], least[None])) & (label[:, None] != label[None])
+        return frame.loc[near.any(1), ["node"]]
+
+    rows = _blocks(members, percent).join(labels, "node").join(sketched, "node")
+    return rows.groupBy("task").applyInPandas(run, "node long").distinct()
+
+
+def _block_links(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within groups; members: grp, node, n."""
+    rows = _blocks(members, percent).join(full, "node")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("node")
@@ -387,6 +412,9 @@ def components(docs: DataFrame, k: int = K, percent: int = THRESHOLD) -> DataFra
         members = common.durable(
             rest.select("node", "n").distinct().join(groups, "node").select(F.col("label").alias("grp"), "node", "n")
         )
+        members = common.durable(
+            members.join(_promising(members, labels, sketched, k, percent), "node").select("grp", "node", "n")
+        )
         more = common.durable(place.join(members.join(full, "node", "left_anti").select("node"), "node"))
         whole = full if more.isEmpty() else full.unionByName(common.durable(_full_sets(docs, more)))
         labels = _relabelled(labels, common.durable(_block_links(members, whole, percent)))
