@@ -191,7 +191,6 @@ def test_repeats_equal_brute_force(docs, empty, monkeypatch):
 def test_licenses_places_and_blocks(docs, empty):
     got = {r.doc_id: r for r in licenses.scan(docs).collect()}
     r = got[16]
-    # The Kelvin sign is no letter k: "by" stands before it in one word.
     assert (r.n_words, r.n_base, r.first_word, r.last_word) == (12, 2, 0, 8)
     assert (r.base_labels, r.labels, r.score) == ("cc-by,reserved", "cc-by,mit,reserved", 1.0)
     assert (got[4].n_words, got[4].n_base, got[4].first_word, got[4].score) == (0, 0, None, 0.0)
