@@ -64,14 +64,18 @@ class Trie:
     def __init__(self, terms: list[str]) -> None:
         self.children: list[dict[str, int]] = [{}]
         self.term: list[int] = [-1]
+        #: Half the length of the shortest term at or below each node.
+        self.half: list[int] = [min((len(term) // 2 for term in terms), default=0)]
         for number, term in enumerate(terms):
-            node = 0
+            node, half = 0, len(term) // 2
             for char in term:
                 if char not in self.children[node]:
                     self.children[node][char] = len(self.children)
                     self.children.append({})
                     self.term.append(-1)
+                    self.half.append(half)
                 node = self.children[node][char]
+                self.half[node] = min(self.half[node], half)
             self.term[node] = number
 
     def longest_prefix(self, word: str) -> int:
@@ -85,19 +89,12 @@ class Trie:
                 found = self.term[node]
         return found
 
-    def exact(self, word: str) -> int:
-        node = 0
-        for char in word:
-            node = self.children[node].get(char, -1)
-            if node < 0:
-                return -1
-        return self.term[node]
-
-    def nearest(self, word: str, edits: int = 1) -> int:
+    def nearest(self, word: str, edits: int = 1, from_middle: bool = False) -> int:
         """Number of a term within the edits, the closest and then the first; or -1.
 
         A state is a node of the trie with a state of the word's Levenshtein automaton:
-        characters read, and edits left.
+        characters read, and edits left. With ``from_middle`` an edit is made only in the
+        last half of a term.
         """
         best, least = -1, edits + 1
         size = len(word)
@@ -111,16 +108,16 @@ class Trie:
                     away = edits - left + size - i
                     if away < least or away == least and number < best:
                         best, least = number, away
-                if left:
+                if left and (not from_middle or i >= self.half[node]):
                     after = [(node, i + 1, left - 1)] if i < size else []  # only the word has the character
                     for char, child in self.children[node].items():
                         after.append((child, i, left - 1))  # only the term has it
                         if i < size and char != word[i]:
                             after.append((child, i + 1, left - 1))
-                    for state in after:
-                        if state not in seen:
-                            seen.add(state)
-                            todo.append(state)
+                    if left > 1:  # several ways may lead to a state
+                        after = [state for state in after if state not in seen]
+                        seen.update(after)
+                    todo += after
                 if i == size:
                     break
                 node = self.children[node].get(word[i], -1)
@@ -176,37 +173,38 @@ class Matcher:
         self.stems = list(model.stems)
         self.weight = np.array([0.0, *model.words.values(), *model.stems.values()])
         self.own = model.own
-        self.trie = Trie(self.terms)
+        self.number = {term: number for number, term in enumerate(self.terms)}
         self.stem_trie = Trie(self.stems)
-        self.fuzzy_trie = Trie([t if len(t) >= FUZZY_FROM else "" for t in self.terms])
-        self.fuzzy_trie.term[0] = -1
+        self.beginnings = {stem[: STEM_SIZES.start] for stem in self.stems}
         # One edit leaves the first or the last half of a term as it is.
-        self.heads = {t[: len(t) // 2] for t in self.terms if len(t) >= FUZZY_FROM}
-        self.tails = {t[len(t) // 2 + 1 :] for t in self.terms if len(t) >= FUZZY_FROM}
-        self.head_sizes = sorted({len(h) for h in self.heads})
-        self.tail_sizes = sorted({len(t) for t in self.tails})
-        self.sizes = {len(t) + d for t in self.terms if len(t) >= FUZZY_FROM for d in (-1, 0, 1)}
+        fuzzy = [term for term in self.terms if len(term) >= FUZZY_FROM]
+        self.forward = Trie(fuzzy)
+        self.backward = Trie([term[::-1] for term in fuzzy])
+        self.fuzzy_number = [self.number[term] for term in fuzzy]
+        self.sizes = {len(term) + d for term in fuzzy for d in (-1, 0, 1)}
         self.seen = _Seen(self)
 
     def near(self, word: str) -> int:
         """Number of the term that the word misspells, or -1."""
-        if len(word) not in self.sizes or not (
-            any(word[:n] in self.heads for n in self.head_sizes)
-            or any(word[-n:] in self.tails for n in self.tail_sizes)
-        ):
+        if len(word) not in self.sizes:
             return -1
-        return self.fuzzy_trie.nearest(word)
+        if word in self.number and len(word) >= FUZZY_FROM:
+            return self.number[word]
+        ways = self.forward.nearest(word, 1, True), self.backward.nearest(word[::-1], 1, True)
+        found = min((way for way in ways if way >= 0), default=-1)
+        return self.fuzzy_number[found] if found >= 0 else -1
 
     def _look_up(self, word: str) -> int:
         """0, or term * 4 + kind, terms counted from 1, stems after words."""
         if not word:
             return NOTHING
-        number = self.trie.exact(word)
+        number = self.number.get(word, -1)
         if number >= 0:
             return (number + 1) * 4 + EXACT
-        number = self.stem_trie.longest_prefix(word)
-        if number >= 0:
-            return (len(self.terms) + number + 1) * 4 + STEM
+        if word[: STEM_SIZES.start] in self.beginnings:
+            number = self.stem_trie.longest_prefix(word)
+            if number >= 0:
+                return (len(self.terms) + number + 1) * 4 + STEM
         if word not in self.own:
             number = self.near(word)
             if number >= 0:
