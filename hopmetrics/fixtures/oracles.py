@@ -298,6 +298,13 @@ SELECT service, count(*) AS rows, count(amount) AS amounts, count(fee) AS fees,
        CAST(sum(CAST(amount_usd AS DECIMAL(28,6))) AS DOUBLE) AS volume,
        CAST(sum(CAST(fee AS DECIMAL(28,6))) AS DOUBLE) AS fee_total
 FROM bridges GROUP BY 1""",
+        # Whole amounts, added as integers; the text makes the nearest double of them.
+        "large_totals": f"""{RELATION}, dollars AS (
+  SELECT service, CAST(floor(amount_usd) AS HUGEINT) AS d FROM bridges WHERE amount_usd IS NOT NULL)
+SELECT service, CAST(CAST(sum(d * 1000000000000) AS VARCHAR) AS DOUBLE) AS total,
+       CAST(CAST(sum(abs(d) * (2 * 1208925819614629174706176::HUGEINT + 1000000000000)) AS VARCHAR)
+            AS DOUBLE) AS turnover
+FROM dollars GROUP BY 1""",
         "message_fee": f"{RELATION} SELECT id, fee FROM message_rows",
         "chain_case": f"""{RELATION}
 SELECT 'as spelled' AS variant, source_chain, count(*) AS rows FROM bridges GROUP BY 2

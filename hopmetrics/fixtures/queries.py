@@ -127,6 +127,18 @@ def service_summary(bridges: DataFrame) -> DataFrame:
     )
 
 
+def large_totals(bridges: DataFrame) -> DataFrame:
+    """Totals of amounts far above the cents of a double, part of which cancel out."""
+    dollars = F.floor("amount_usd").cast("double")
+    amounts = F.array(dollars * 2.0**80, dollars * 1e12, dollars * -(2.0**80))
+    return (
+        bridges.filter("amount_usd IS NOT NULL")
+        .select("service", F.explode(amounts).alias("usd"))
+        .groupBy("service")
+        .agg(usd.sum_exact(F.col("usd")).alias("total"), usd.sum_rounded(F.abs("usd")).alias("turnover"))
+    )
+
+
 def _both_spellings(bridges: DataFrame) -> DataFrame:
     """Each row once as spelled and once in lower case, from one scan."""
     variants = F.array(
@@ -226,6 +238,7 @@ OPERATORS: dict[str, Query] = {
     "messages_normalized": messages_normalized,
     "bridges_union": _on_bridges(bridges_union, columns=("service", "id")),
     "service_summary": _on_bridges(service_summary, columns=("service", "amount", "amount_usd", "fee")),
+    "large_totals": _on_bridges(large_totals, columns=("service", "amount_usd")),
     "message_fee": message_fee,
     "chain_case": _on_bridges(chain_case, columns=("source_chain", "destination_chain")),
     "unique_routes": _on_bridges(unique_routes, columns=("source_chain", "destination_chain")),

@@ -73,8 +73,8 @@ ASSET_PREFIXES = {"factory/sei10hub": "SEILOR"}
 
 def label_dimension(spark: SparkSession, labels: dict[str, str] = ASSET_LABELS) -> DataFrame:
     """The label map as a two-column local relation."""
-    row = ", ".join(f"('{raw}', '{label}')" for raw, label in labels.items())
-    return spark.sql(f"SELECT * FROM VALUES {row} AS labels(asset, asset_label)")
+    rows = F.array(*(F.struct(F.lit(raw), F.lit(label)) for raw, label in labels.items()))
+    return spark.range(1).select(F.inline(rows.cast("array<struct<asset:string,asset_label:string>>")))
 
 
 def _prefix_label(raw: Column) -> Column:
@@ -86,12 +86,12 @@ def _prefix_label(raw: Column) -> Column:
 def with_asset_label(rows: DataFrame, labels: dict[str, str] = ASSET_LABELS) -> DataFrame:
     """Add ``symbol``: exact label, else prefix label, else the raw name.
 
-    The dimension is a fixed list of a few dozen rows, hence the broadcast. No
+    The planner sees the size of the labels and broadcasts what is small. No
     exact key starts with a prefix that has another label, so the order of the
     two rules does not matter.
     """
     raw = F.col("raw_asset")
-    dimension = F.broadcast(label_dimension(rows.sparkSession, labels))
+    dimension = label_dimension(rows.sparkSession, labels)
     return (
         rows.join(dimension, raw == F.col("asset"), "left")
         .withColumn("symbol", F.coalesce("asset_label", _prefix_label(raw), raw))

@@ -21,12 +21,16 @@ def clean_double(text: Column) -> Column:
     """
     trimmed = F.trim(text)
     number = F.when(trimmed.rlike(NUMBER_TEXT), trimmed).try_cast("double")
+    return _finite(number)
+
+
+def _finite(number: Column) -> Column:
     return F.when(F.abs(number) < F.lit(math.inf), number)
 
 
 def safe_product(left: Column, right: Column) -> Column:
-    """``left * right`` on cleaned text, NULL when either side is bad."""
-    return clean_double(left) * clean_double(right)
+    """``left * right`` on cleaned text, NULL when either side is bad or the product is too large."""
+    return _finite(clean_double(left) * clean_double(right))
 
 
 def fee_with_fallback(gas_used: Column, token_usd: Column, express_fee: Column) -> Column:

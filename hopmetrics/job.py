@@ -106,9 +106,12 @@ def run(
     partition: str = "created_day",
     since=None,
 ) -> None:
-    bridges = update_table(
-        spark, transfers, messages, table, routers, message_routers, partition, since
-    )
+    update_table(spark, transfers, messages, table, routers, message_routers, partition, since)
+    # The feeds were read with the session's split size; only the table takes the small one.
+    split_size = "spark.sql.files.maxPartitionBytes"
+    if not spark.sparkContext.getConf().contains(split_size):
+        spark.conf.set(split_size, store.ROW_GROUP_BYTES)
+    bridges = store.read_bridges(spark, table, partition)
     write_reports(spark, all_reports(bridges, grain, start, end, as_of), out)
 
 
@@ -127,9 +130,6 @@ def main() -> None:
     parser.add_argument("--since", help="first day to decode again (all)")
     arguments = parser.parse_args()
     spark = SparkSession.builder.appName("hopmetrics").getOrCreate()
-    split_size = "spark.sql.files.maxPartitionBytes"
-    if not spark.sparkContext.getConf().contains(split_size):
-        spark.conf.set(split_size, store.ROW_GROUP_BYTES)
     run(
         spark,
         arguments.transfers,

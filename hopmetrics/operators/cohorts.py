@@ -122,21 +122,23 @@ def _clamped(bridges: DataFrame, start, end) -> tuple[DataFrame, Column, Column]
     return rows, F.greatest(at, before), F.to_date("created_at") >= F.lit(as_date(start))
 
 
-_MEASURES = ("rows", "exact_rows", "exact", "large_rows", "large")
+_MEASURES = ("rows", "priced", "exact", "large", "vast_rows", "vast")
 
 
 def status_totals(bridges: DataFrame, start=None, end=None) -> DataFrame:
-    """(at, user_status, rows, exact, large, priced): what the status join emits
-    per timestamp and status; USD in the two parts of ``functions.usd``."""
+    """(at, user_status, rows, priced, exact, large, vast): what the status join emits
+    per timestamp and status; USD in the three parts of ``functions.usd``."""
     rows, at, in_range = _clamped(bridges, start, end)
     exact = F.when(in_range, usd.exact_part(F.col("amount_usd")))
     large = F.when(in_range, usd.large_part(F.col("amount_usd")))
+    vast = F.when(in_range, usd.vast_part(F.col("amount_usd")))
     by_wallet = rows.groupBy("wallet", at.alias("at")).agg(
         F.count(F.when(in_range, F.lit(1))).alias("rows"),
-        F.count(exact).alias("exact_rows"),
+        F.count(exact).alias("priced"),
         F.coalesce(F.sum(exact), F.lit(0)).cast(usd.SUM_TYPE).alias("exact"),
-        F.count(large).alias("large_rows"),
-        F.coalesce(F.sum(large), F.lit(0.0)).alias("large"),
+        F.coalesce(F.sum(large), F.lit(0)).cast(usd.LARGE_TYPE).alias("large"),
+        F.count(vast).alias("vast_rows"),
+        F.coalesce(F.sum(vast), F.lit(0.0)).alias("vast"),
     )
 
     # All rows of a timestamp, and per user what happened at the first one.
@@ -159,16 +161,17 @@ def status_totals(bridges: DataFrame, start=None, end=None) -> DataFrame:
 
     copies = F.greatest(F.col("firsts"), F.lit(1).cast("long"))
     rest = {m: F.col(m) * copies - F.col(f"new_{m}") for m in _MEASURES}
-    # A float difference need not cancel; without large rows there is no large sum.
-    rest["large"] = F.when(rest["large_rows"] > 0, rest["large"]).otherwise(F.lit(0.0))
+    # A float difference need not cancel; without vast rows there is no vast sum.
+    rest["vast"] = F.when(rest["vast_rows"] > 0, rest["vast"]).otherwise(F.lit(0.0))
 
     def side(status: str, measures: dict[str, Column]) -> Column:
         return F.struct(
             F.lit(status).alias("user_status"),
             measures["rows"].alias("rows"),
-            (measures["exact_rows"] + measures["large_rows"]).alias("priced"),
+            measures["priced"].alias("priced"),
             measures["exact"].cast(usd.SUM_TYPE).alias("exact"),
-            measures["large"].alias("large"),
+            measures["large"].cast(usd.LARGE_TYPE).alias("large"),
+            F.when(measures["vast_rows"] > 0, measures["vast"]).alias("vast"),
         )
 
     new = {m: F.col(f"new_{m}") for m in _MEASURES}
@@ -178,7 +181,7 @@ def status_totals(bridges: DataFrame, start=None, end=None) -> DataFrame:
 
 
 def _zero(measure: str) -> Column:
-    kind = {"exact": usd.SUM_TYPE, "large": "double"}.get(measure, "long")
+    kind = {"exact": usd.SUM_TYPE, "large": usd.LARGE_TYPE, "vast": "double"}.get(measure, "long")
     return F.lit(0).cast(kind)
 
 
@@ -194,7 +197,7 @@ def status_volume(bridges: DataFrame, start=None, end=None, grain: str | None =
     if grain is not None:
         totals = totals.withColumn("date", bucket(grain, F.col("at")))
         keys = ["date", "user_status"]
-    volume = usd.join_parts_rounded(F.sum("exact"), F.sum("large"))
+    volume = usd.join_parts_rounded(F.sum("exact"), F.sum("large"), F.sum("vast"))
     return totals.groupBy(*keys).agg(F.when(F.sum("priced") > 0, volume).alias("volume"))
 
 

@@ -165,6 +165,7 @@ def profile(
     n, amount = F.col("n"), F.col("value")
     exact = F.sum(usd.exact_part(amount) * n)
     large = F.sum(usd.large_part(amount) * n)
+    vast = F.sum(usd.vast_part(amount) * n)
     priced = F.nullif(F.sum("n"), F.lit(0))
     counts = [
         F.count(F.when((F.col("kind") == kind) & (n == 0), F.col("key"))).alias(name)
@@ -172,9 +173,9 @@ def profile(
     ]
     summary = counted.groupBy(*by).agg(
         *counts,
-        usd.join_parts_rounded(exact, large).alias("total"),
+        usd.join_parts_rounded(exact, large, vast).alias("total"),
         F.max("value").alias("maximum"),
-        (usd.join_parts(exact, large) / priced).alias("average"),
+        (usd.join_parts(exact, large, vast) / priced).alias("average"),
     )
     middle = medians(counted, by)
     if not by:

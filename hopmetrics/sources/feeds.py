@@ -20,8 +20,17 @@ def read_messages(spark: SparkSession, source: str) -> DataFrame:
 
 
 def _read(spark: SparkSession, source: str, schema: str) -> DataFrame:
+    fields = T.StructType.fromDDL(schema).fields
     if "/" in source:
-        # Declared schema: no footer is read to infer one.
+        # A declared column that a file lacks would be read as NULLs without an error.
+        _check_names(source, spark.read.parquet(source).columns, fields)
         return spark.read.schema(schema).parquet(source)
-    fields = T.StructType.fromDDL(schema).fields
-    return spark.table(source).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in fields))
+    rows = spark.table(source)
+    _check_names(source, rows.columns, fields)
+    return rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in fields))
+
+
+def _check_names(source: str, columns: list[str], fields: list[T.StructField]) -> None:
+    missing = {f.name for f in fields} - {c.lower() for c in columns}
+    if missing:
+        raise ValueError(f"{source} lacks the columns {sorted(missing)}")

@@ -9,6 +9,7 @@ import pytest
 from conftest import DATA
 
 import __spark_entry__ as entry
+from hopmetrics.fixtures import oracles, queries
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 SF = f"{DATA}/sf0.001"
@@ -23,10 +24,10 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(queries.queries()) == set(oracles.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_query_matches_sql(spark, con, name):
     found = entry.queries()[name](spark, SF)
     cursor = con.execute(entry.oracle_sql()[name])

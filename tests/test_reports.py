@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
+from fractions import Fraction
 
 import pytest
 from conftest import by_key, ts, tuples
 
-from hopmetrics.functions import usd
+from hopmetrics.functions import numeric, usd
 from hopmetrics.functions.assets import ASSET_LABELS, ASSET_PREFIXES, with_asset_label
 from hopmetrics.functions.buckets import amount_bucket, count_bucket
 from hopmetrics.operators import cohorts, shares
@@ -231,6 +233,47 @@ def test_rounding_and_huge_amounts(spark):
     assert total(1e308, 1e308) == float("inf")
 
 
+def test_large_amounts_cancel_in_any_order(spark):
+    def totals(values, partitions):
+        rows = spark.createDataFrame([(v,) for v in values], "v DOUBLE").repartition(partitions)
+        return rows.agg(usd.sum_rounded(F.col("v")), usd.sum_exact(F.col("v"))).first()
+
+    assert tuple(totals([5e15, -5e15], 1)) == (0.0, 0.0)
+    assert {tuple(totals(p, 2)) for p in itertools.permutations([1e31, 1e15, -1e31])} == {(1e15, 1e15)}
+    assert tuple(totals([1e200, 5.5, -1e200], 1)) == (6.0, 5.5)
+    pick = random.Random(3)
+    for _ in range(4):
+        values = [pick.choice([-1, 1]) * pick.random() * 2.0 ** pick.randint(-10, 134) for _ in range(60)]
+        values += [-v for v in values[:40]] + [0.25]
+        found = set()
+        for partitions in (1, 3, 7):
+            pick.shuffle(values)
+            found.add(tuple(totals(values, partitions)))
+        assert len(found) == 1
+        true = sum(map(Fraction, values))
+        assert found.pop()[1] == pytest.approx(float(true), rel=1e-12)
+
+
+def test_large_amounts_in_the_reports(bridge_rows):
+    rows = bridge_rows(
+        [{"created_at": ts(f"2024-01-0{d}"), "id": str(d), "amount_usd": v} for d, v in [(1, 5e15), (2, -5e15)]]
+    )
+    assert reports.period_kpis(rows, *RANGE).first().volume == 0.0
+    assert reports.status_volume(rows, *RANGE).agg(F.sum("volume")).first()[0] == 0.0
+
+
+def test_products_stay_finite_and_labels_take_quotes(spark):
+    row = spark.range(1).select(
+        numeric.safe_product(F.lit("1e200"), F.lit("1e200")),
+        numeric.fee_with_fallback(F.lit("1e200"), F.lit("-1e200"), F.lit("7")),
+    )
+    assert tuple(row.first()) == (None, 7.0)
+    rows = spark.createDataFrame([("it's",), ("other",)], "raw_asset STRING")
+    found = with_asset_label(rows, {"it's": "It's \"one\""})
+    assert sorted(r.symbol for r in found.collect()) == ["It's \"one\"", "other"]
+    assert with_asset_label(rows, {}).count() == 2
+
+
 def test_totals_stay_true_over_many_small_digits(spark):
     # All of these end in a tie at the sixth decimal; rounding up would add 0.25.
     rows = spark.range(500_000).select((F.col("id") / 1e6 + 5e-7).alias("v"))
