@@ -12,12 +12,13 @@ each sketch, if all sketches are cut in one order; the order puts frequent value
 which keeps passages that many documents share out of the lists.
 
 Skew. Lists are never paired in full at first: a list's members are compared with
-``HUBS`` of them, estimate first, and the similar ones become components. What a list then
-still holds in several components goes on in groups (nodes that such lists connect): a
-group is cut into blocks by set size, and each pair of blocks whose sizes are compatible
-is compared by one task on full sets, which returns a forest of links. A pair within
-a component changes nothing, so no link that matters is lost, and the rows made grow with
-the members of lists, not with their pairs.
+``HUBS`` of them, estimate first, and the similar ones become components. A list that then
+still holds several components is compared whole, once for all lists of the same nodes: by
+sketches first, the members that come near another component on full sets, which gives a
+forest of links. A list of more than ``BLOCK`` nodes is cut into blocks by set size, and each
+pair of blocks whose sizes are compatible is compared by one task. A pair within a component
+changes nothing, so no link that matters is lost, and the rows made grow with the members
+of lists, not with their pairs.
 
 Cases: a null or blank text has no shingles, is linked with nothing, and is kept. Rows
 with one ``doc_id`` count as one document in the ids of components; null ids come last and
@@ -43,7 +44,7 @@ K = 96
 #: Similarity in per cent: 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 85
 HUBS = 3
-#: Nodes in a block of a group.
+#: Nodes in a block of a large list.
 BLOCK = 500
 #: At most so many values are known as frequent.
 FREQUENT = 20_000
@@ -308,12 +309,19 @@ def _forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 
 def _blocks(members: DataFrame, percent: int) -> DataFrame:
-    """task, node: the pairs of blocks of each group, each with its nodes; members: grp, node, n."""
+    """task, grp, node: groups, or pairs of blocks of a large group, dealt to tasks; members: grp, node, n."""
+    totals = members.groupBy("grp").agg(F.count("*").alias("total"))
+    sized = members.join(totals, "grp")
+    # Groups of at most a block are compared whole, a few of them by each task.
+    tasks = max(1, members.count() // (2 * BLOCK))
+    small = sized.filter(F.col("total") <= BLOCK).select(
+        (-1 - F.pmod(F.xxhash64("grp"), F.lit(tasks))).alias("task"), "grp", "node"
+    )
     # A block is a run of a group's nodes in order of set size. Nodes are numbered by size with
     # the counts of size classes, a row per class, so that no task sorts a whole group.
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int")
     salt = F.pmod(F.xxhash64("node"), F.lit(1 << 20))
-    classed = members.withColumns({"class": step, "salt": salt})
+    classed = sized.filter(F.col("total") > BLOCK).withColumns({"class": step, "salt": salt}).drop("total")
     counts = classed.groupBy("grp", "class").agg(F.count("*").alias("c"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("c") / BLOCK)).cast("int")
     # Similar sets are in one class or in neighbouring ones; a class has blocks of its own.
@@ -323,7 +331,7 @@ def _blocks(members: DataFrame, percent: int) -> DataFrame:
         "at", F.pmod(F.col("salt"), F.col("blocks")).cast("int")
     )
     pairs = x.join(y, "grp").filter("cy = cx or cy = cx + 1")
-    same = (F.col("cx") == F.col("cy"))
+    same = F.col("cx") == F.col("cy")
     tasks = (
         pairs.select("*", F.explode(F.sequence(F.lit(0), F.col("bx") - 1)).alias("ax"))
         .select("*", F.explode(F.sequence(F.when(same, F.col("ax")).otherwise(0), F.col("by") - 1)).alias("ay"))
@@ -333,21 +341,35 @@ def _blocks(members: DataFrame, percent: int) -> DataFrame:
     ends = tasks.select("task", "grp", F.col("cx").alias("class"), F.col("ax").alias("at")).unionByName(
         tasks.select("task", "grp", F.col("cy").alias("class"), F.col("ay").alias("at"))
     ).distinct()
-    return placed.join(ends, ["grp", "class", "at"]).select("task", "node")
+    large = placed.join(ends, ["grp", "class", "at"]).select("task", "grp", "node")
+    return small.unionByName(large)
+
+
+def _groups(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The rows of each group in a task, nodes ascending."""
+    frame = frame.sort_values(["grp", "node"])
+    cuts = np.flatnonzero(np.diff(frame["grp"].to_numpy())) + 1
+    for low, high in zip([0, *cuts], [*cuts, len(frame)], strict=True):
+        yield frame.iloc[low:high]
 
 
 def _promising(members: DataFrame, labels: DataFrame, sketched: DataFrame, k: int, percent: int) -> DataFrame:
-    """Nodes of groups whose sketch shares enough with one of another component."""
+    """grp, node: members whose sketch shares enough with one of another component in the group."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        sizes, shared = _shared([np.frombuffer(s, np.uint64) for s in frame["sketch"]])
-        least = np.array([least_shared(int(size), k, percent) for size in sizes])
-        label = frame["label"].to_numpy()
-        near = (shared >= np.minimum(least[:, None], least[None])) & (label[:, None] != label[None])
-        return frame.loc[near.any(1), ["node"]]
+        kept = []
+        for part in _groups(frame):
+            label = part["label"].to_numpy()
+            if (label == label[0]).all():
+                continue
+            sizes, shared = _shared([np.frombuffer(s, np.uint64) for s in part["sketch"]])
+            least = np.array([least_shared(int(size), k, percent) for size in sizes])
+            near = (shared >= np.minimum(least[:, None], least[None])) & (label[:, None] != label[None])
+            kept.append(part.loc[near.any(1), ["grp", "node"]])
+        return pd.concat(kept) if kept else frame.loc[[], ["grp", "node"]]
 
     rows = _blocks(members, percent).join(labels, "node").join(sketched, "node")
-    return rows.groupBy("task").applyInPandas(run, "node long").distinct()
+    return rows.groupBy("task").applyInPandas(run, "grp long, node long").distinct()
 
 
 def _block_links(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -355,10 +377,13 @@ def _block_links(members: DataFrame, full: DataFrame, percent: int) -> DataFrame
     rows = _blocks(members, percent).join(full, "node")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("node")
-        nodes = frame["node"].to_numpy()
-        links = _forest([np.frombuffer(s, np.uint64) for s in frame["full"]], percent) if len(frame) > 1 else []
-        return pd.DataFrame({"a": [nodes[x] for x, _ in links], "b": [nodes[y] for _, y in links]}, dtype="int64")
+        links = []
+        for part in _groups(frame):
+            if len(part) > 1:
+                nodes = part["node"].to_numpy()
+                found = _forest([np.frombuffer(s, np.uint64) for s in part["full"]], percent)
+                links += [(nodes[x], nodes[y]) for x, y in found]
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("task").applyInPandas(run, "a long, b long")
 
@@ -401,21 +426,24 @@ def components(docs: DataFrame, k: int = K, percent: int = THRESHOLD) -> DataFra
     # Lists with nodes in several components that have not been compared as hubs.
     is_hub = F.exists("hubs", lambda h: h["node"] == F.col("node"))
     rest = met.filter(~is_hub).select("value", "node", "n").join(labels, "node")
+    one, two = F.xxhash64("node"), F.xxhash64("node", F.lit(1))
     still = (
         rest.groupBy("value")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("first"))
+        .agg(
+            F.min("label").alias("low"),
+            F.max("label").alias("high"),
+            F.struct(F.count("*"), F.bit_xor(one), F.bit_xor(two)).alias("members"),
+        )
         .filter("low < high")
+        .groupBy("members")  # a shared passage makes many lists of the same nodes
+        .agg(F.min("value").alias("value"))
     )
-    rest = common.durable(rest.join(still.select("value", "first"), "value").select("node", "n", "first"))
-    if not rest.isEmpty():
-        groups = connected(rest.select(F.col("node").alias("a"), F.col("first").alias("b")))
-        members = common.durable(
-            rest.select("node", "n").distinct().join(groups, "node").select(F.col("label").alias("grp"), "node", "n")
-        )
-        members = common.durable(
-            members.join(_promising(members, labels, sketched, k, percent), "node").select("grp", "node", "n")
-        )
-        more = common.durable(place.join(members.join(full, "node", "left_anti").select("node"), "node"))
+    members = common.durable(
+        rest.join(still.select("value"), "value").select(F.col("value").alias("grp"), "node", "n")
+    )
+    if not members.isEmpty():
+        members = common.durable(members.join(_promising(members, labels, sketched, k, percent), ["grp", "node"]))
+        more = common.durable(place.join(members.join(full, "node", "left_anti").select("node").distinct(), "node"))
         whole = full if more.isEmpty() else full.unionByName(common.durable(_full_sets(docs, more)))
         labels = _relabelled(labels, common.durable(_block_links(members, whole, percent)))
     grouped = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
