@@ -16,8 +16,9 @@ Skew. Lists are never paired in full at first: a list's members are compared wit
 still holds in several components goes on in groups (nodes that such lists connect): a
 group is cut into blocks by set size, and each pair of blocks whose sizes are compatible
 is compared by one task on full sets, which returns a forest of links. A pair within
-a component changes nothing, so no link that matters is lost, and the rows made grow with
-the members of lists, not with their pairs.
+a component changes nothing, so no link that matters is lost. Rows stand for nodes and not
+for pairs, but a group of many blocks copies each node to a task per block of like size, so
+where lists chain into large groups the rows grow faster than the input.
 
 Cases: a null or blank text has no shingles, is linked with nothing, and is kept. Rows
 with one ``doc_id`` count as one document in the ids of components; null ids come last and
