@@ -83,6 +83,7 @@ def update_table(
     sources = [feeds.read_transfers(spark, transfers), feeds.read_messages(spark, messages)]
     mode = "errorifexists"
     if since is not None:
+        store.read_bridges(spark, table, partition)  # raises if there is no table to refresh
         first = store.partition_start(partition, since)
         sources = [date_range(feed, first) for feed in sources]
         mode = "overwrite"

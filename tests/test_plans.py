@@ -6,6 +6,7 @@ import re
 
 import pytest
 from conftest import DATA
+from pyspark.errors import AnalysisException
 
 from hopmetrics.fixtures import feeds as fixtures
 from hopmetrics.operators import normalize
@@ -198,6 +199,8 @@ def test_late_records_are_picked_up(spark, tmp_path, partition):
     arguments = {"routers": ["0xR"], "partition": partition}
     job.update_table(spark, feed(first, "first"), messages, table, **arguments)
     found = job.update_table(spark, feed(late, "late"), messages, table, since="2024-02-15", **arguments)
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        job.update_table(spark, feed(late, "again"), messages, f"{table}-missing", since="2024-02-15", **arguments)
     assert sorted(row.id for row in found.collect()) == ["a", "b", "c", "d", "m"]
 
 
