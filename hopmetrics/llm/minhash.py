@@ -21,9 +21,11 @@ for pairs, but a group of many blocks copies each node to a task per block of li
 where lists chain into large groups the rows grow faster than the input.
 
 Cases: a null or blank text has no shingles, is linked with nothing, and is kept. Rows
-with one ``doc_id`` count as one document in the ids of components; null ids come last and
-are reported as null. Other columns, whatever their names, are ignored by ``components``
-and passed on by ``dedup``. An empty table gives an empty result.
+with one ``doc_id`` count as one document in the ids of components, and in ``kept`` of
+``report``; null ids come last and are reported as null. ``dedup`` judges each row by its own
+text, so rows that share an id, or have none, stay or go independently. Other columns, whatever
+their names, are ignored by ``components`` and passed on by ``dedup``. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -364,8 +366,8 @@ def _block_links(members: DataFrame, full: DataFrame, percent: int) -> DataFrame
     return rows.groupBy("task").applyInPandas(run, "a long, b long")
 
 
-def components(docs: DataFrame, k: int = K, percent: int = THRESHOLD) -> DataFrame:
-    """doc, n_shingles, component of each row; ``doc`` and ``component`` as ``common.doc_key``."""
+def _placed(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc, body, n, first of each row: the smallest (doc, body) of its component, null for blank texts."""
     sketches = common.durable(_sketches(docs, k))
     # Equal sets have equal sketches, so it does not matter whose is taken.
     nodes = common.durable(
@@ -374,7 +376,7 @@ def components(docs: DataFrame, k: int = K, percent: int = THRESHOLD) -> DataFra
         .agg(F.min(F.struct("doc", "body")).alias("row"), F.first("sketch").alias("sketch"))
         .select("h1", "h2", "n", "row.*", "sketch", F.monotonically_increasing_id().alias("node"))
     )
-    rows = common.durable(sketches.select("doc", "n", "h1", "h2"))
+    rows = common.durable(sketches.select("doc", "body", "n", "h1", "h2"))
     common.forget(sketches)
     postings = _postings(nodes, _frequent(nodes, FREQUENT), k, percent)
     hubs = F.array(
@@ -420,10 +422,15 @@ def components(docs: DataFrame, k: int = K, percent: int = THRESHOLD) -> DataFra
         whole = full if more.isEmpty() else full.unionByName(common.durable(_full_sets(docs, more)))
         labels = _relabelled(labels, common.durable(_block_links(members, whole, percent)))
     grouped = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = grouped.groupBy("label").agg(F.min("doc").alias("component"))
-    by_set = common.durable(grouped.join(smallest, "label").select("h1", "h2", "n", "component"))
-    return rows.join(by_set, ["h1", "h2", "n"], "left").select(
-        "doc", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component")
+    smallest = grouped.groupBy("label").agg(F.min(F.struct("doc", "body")).alias("first"))
+    by_set = common.durable(grouped.join(smallest, "label").select("h1", "h2", "n", "first"))
+    return rows.join(by_set, ["h1", "h2", "n"], "left").select("doc", "body", "n", "first")
+
+
+def components(docs: DataFrame, k: int = K, percent: int = THRESHOLD) -> DataFrame:
+    """doc, n_shingles, component of each row; ``doc`` and ``component`` as ``common.doc_key``."""
+    return _placed(docs, k, percent).select(
+        "doc", F.col("n").alias("n_shingles"), F.coalesce("first.doc", "doc").alias("component")
     )
 
 
@@ -442,13 +449,27 @@ def report(docs: DataFrame, k: int = K, percent: int = THRESHOLD) -> DataFrame:
 
 
 def dedup(docs: DataFrame, k: int = K, percent: int = THRESHOLD) -> DataFrame:
-    """The rows, with their columns, of one document of each component; blank texts all stay.
+    """One row, with its columns, of each component; blank texts all stay.
 
-    Of repeated rows of the document that stays, one stays.
+    The row with the smallest id stays; of several texts with that id the one with the
+    smallest hash, and of repeated rows of it one.
     """
-    found = components(docs, k, percent).filter("n_shingles > 0 and doc <> component").select("doc").distinct()
-    rows = docs.select(F.struct("*").alias("row"), common.doc_key().alias("doc"))
-    return rows.join(found, "doc", "left_anti").select("row.*")
+    placed = _placed(docs, k, percent).filter("first is not null")
+    keys = placed.groupBy("doc", "body").agg(
+        F.count("*").alias("c"), F.first(F.struct("doc", "body") == F.col("first")).alias("stays")
+    )
+    keys = common.durable(keys.filter("c > 1 or not stays"))
+    rows = docs.select(
+        F.struct("*").alias("row"), common.doc_key().alias("doc"), F.xxhash64(common.text_or_empty()).alias("body")
+    )
+    alone = rows.join(keys, ["doc", "body"], "left_anti").select("row.*")
+    often = keys.filter("stays").select("doc", "body")
+    if often.isEmpty():
+        return alone
+    # Numbered once and written, so that the same one of the repeated rows stays in every run.
+    numbered = rows.join(often, ["doc", "body"], "left_semi").withColumn("at", F.monotonically_increasing_id())
+    one = common.durable(numbered).groupBy("doc", "body").agg(F.min_by("row", "at").alias("row"))
+    return alone.unionByName(one.select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

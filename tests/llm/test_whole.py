@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from hopmetrics.llm import minhash
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -28,3 +29,43 @@ def test_near_dedup_stage_takes_copies_from_80_per_cent(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 5, 6]
+
+
+def test_minhash_dedup_judges_rows_and_not_ids(spark):
+    rows = [
+        (1, words("a"), "1"),
+        (None, words("a", changed=2), "near copy of 1"),
+        (None, words("b"), "unique, no id"),
+        (None, "", "blank, no id"),
+        (None, None, "null, no id"),
+        (None, words("c"), "copies without id"),
+        (None, words("c"), "copies without id"),
+        (None, words("c", changed=1), "copies without id"),
+        (7, words("d"), "shared id, unique"),
+        (7, words("a", changed=1), "shared id, copied"),
+        (8, words("e"), "repeated rows"),
+        (8, words("e"), "repeated rows"),
+        (9, words("e"), "copy of a repeated row"),
+        (9, " ", "blank"),
+        (9, " ", "blank"),
+        (10, words("f"), "two like texts of one id"),
+        (10, words("f", changed=1), "two like texts of one id"),
+    ]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    kept = minhash.dedup(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.lang for r in kept.collect()) == sorted(
+        [
+            "1",
+            "unique, no id",
+            "blank, no id",
+            "null, no id",
+            "copies without id",
+            "shared id, unique",
+            "repeated rows",
+            "blank",
+            "blank",
+            "two like texts of one id",
+        ]
+    )
+    assert minhash.dedup(docs.filter("doc_id is null and text is null")).count() == 1
