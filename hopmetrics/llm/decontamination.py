@@ -10,6 +10,12 @@ An overlap is reported if within the item some stretch of ``STRETCH`` tokens (th
 item, if it is shorter) has at least ``AGREE`` of its tokens equal. Items of fewer than
 ``LEAST`` tokens are left out.
 
+Completeness. Wherever the substituted tokens of such a stretch lie, one of the masks has a
+window within the stretch that avoids them all: ``LONG_MASKS`` in stretches of ``STRETCH``
+tokens, ``SHORT_MASKS`` in those of ``LEAST`` to ``STRETCH - 1`` (by enumeration of all
+patterns, which a test repeats). So no overlap is without a hit. The short masks count fewer
+tokens and are laid over the documents only if the benchmark has so short items.
+
 Cases: null or empty texts hold no tokens and match nothing. Repeated items give a row
 each; rows with the same ``doc_id`` are compared each on its own and reported by their
 id. Empty tables give an empty result. Other columns, whatever their names, are ignored by
@@ -23,11 +29,14 @@ from pyspark.sql import functions as F
 
 from hopmetrics.llm import common, licenses
 
-#: Positions of 1 count, of 0 are ignored; six tokens count in each mask.
-MASKS = ("111111", "1101100101", "10110001011")
+#: Positions of 1 count, of 0 are ignored. For items of at least ``STRETCH`` tokens:
+LONG_MASKS = ("111011", "1100001011", "110111")
+#: For shorter items:
+SHORT_MASKS = ("1111", "11011", "1100011")
+MASKS = LONG_MASKS + SHORT_MASKS
 STRETCH = 13
 AGREE = 0.75
-#: Items with fewer tokens than this are no evidence; the shortest mask needs six.
+#: Items with fewer tokens than this are no evidence.
 LEAST = 8
 
 
@@ -54,9 +63,18 @@ def _items(benchmark: DataFrame) -> DataFrame:
     ).filter(F.size("item") >= LEAST)
 
 
+def _masks(hashes: Column, long: Column, short: Column) -> Column:
+    """Seeds by mask of ``MASKS``; null for those of a kind that is not wanted."""
+    return F.array(
+        *(F.when(long, _seeds(hashes, mask)) for mask in LONG_MASKS),
+        *(F.when(short, _seeds(hashes, mask)) for mask in SHORT_MASKS),
+    )
+
+
 def test_seeds(benchmark: DataFrame) -> DataFrame:
-    """mask, seed, item_id, n_item, at: all windows of all items."""
-    masks = F.array(*(_seeds(F.col("item"), mask) for mask in MASKS))
+    """mask, seed, item_id, n_item, at: all windows of all items, by the masks for their size."""
+    is_long = F.size("item") >= STRETCH
+    masks = _masks(F.col("item"), is_long, ~is_long)
     return (
         _items(benchmark)
         .select("item_id", F.size("item").alias("n_item"), F.posexplode(masks).alias("mask", "seeds"))
@@ -68,7 +86,8 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc, body, item_id, n_item, diagonal: where a seed of the document is one of the item."""
     text = common.text_or_empty()
     hashed = docs.select(common.doc_key().alias("doc"), F.xxhash64(text).alias("body"), _hashes(text).alias("hashes"))
-    masks = F.array(*(_seeds(F.col("hashes"), mask) for mask in MASKS))
+    sizes = _items(benchmark).agg(F.min(F.size("item")).alias("least"), F.max(F.size("item")).alias("most")).first()
+    masks = _masks(F.col("hashes"), F.lit((sizes.most or 0) >= STRETCH), F.lit((sizes.least or STRETCH) < STRETCH))
     return (
         hashed.select("doc", "body", F.posexplode(masks).alias("mask", "seeds"))
         .select("doc", "body", "mask", F.posexplode("seeds").alias("pos", "seed"))

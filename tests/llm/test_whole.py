@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import ceil
+
+import numpy as np
+import pytest
+
 import corpus_pipeline
-from hopmetrics.llm import minhash
+from hopmetrics.llm import decontamination, minhash
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -69,3 +75,44 @@ def test_minhash_dedup_judges_rows_and_not_ids(spark):
         ]
     )
     assert minhash.dedup(docs.filter("doc_id is null and text is null")).count() == 1
+
+
+def accepted(doc: list[str], item: list[str]) -> tuple[int, int, int] | None:
+    """first_word, n_words, n_equal of the best overlap, from every diagonal and without seeds."""
+    length, best = min(len(item), 13), None
+    for diagonal in range(length - len(item), len(doc) - length + 1):
+        equal = [doc[k + diagonal] == w for k, w in enumerate(item) if 0 <= k + diagonal < len(doc)]
+        if any(sum(equal[s : s + length]) >= ceil(0.75 * length) for s in range(len(equal) - length + 1)):
+            found = (sum(equal), -max(diagonal, 0), len(equal))
+            best = max(best or found, found)
+    return best and (-best[1], best[2], best[0])
+
+
+@pytest.mark.parametrize("n", range(8, 14))
+def test_masks_meet_every_accepted_pattern(n):
+    masks = decontamination.LONG_MASKS if n >= decontamination.STRETCH else decontamination.SHORT_MASKS
+    for changed in combinations(range(n), n - ceil(0.75 * n)):
+        assert any(
+            all(m == "0" or s + k not in changed for k, m in enumerate(mask))
+            for mask in masks
+            for s in range(n - len(mask) + 1)
+        ), changed
+
+
+@pytest.mark.parametrize("sizes", [(8, 9, 10, 11, 12, 13), (13, 16, 25)])
+def test_decontamination_equals_all_diagonals(spark, sizes):
+    rng = np.random.default_rng(sum(sizes))
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in sizes}
+    docs: list[list[str]] = []
+    for n, item in items.items():
+        most = n - ceil(0.75 * n)
+        ways = list(combinations(range(n), most)) if n <= 13 else [rng.choice(n, most, replace=False) for _ in range(200)]
+        ways += [rng.choice(n, most + 1, replace=False) for _ in range(20)]
+        for changed in ways:
+            text = ["x" if k in changed else w for k, w in enumerate(item)]
+            docs.append(["before"] * int(rng.integers(0, 3)) + text[int(rng.integers(0, 2)) * (n > 13) :] + ["after"])
+    table = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(i)) for n, i in items.items()], "item_id long, text string")
+    want = {(i, n): a for i, d in enumerate(docs) for n, item in items.items() if (a := accepted(d, item))}
+    got = {(r.doc_id, r.item_id): tuple(r)[2:] for r in decontamination.overlaps(table, bench).collect()}
+    assert len(want) > 200 and got == want
