@@ -349,4 +349,5 @@ SELECT user_status, coalesce(sum(volume), 0) AS volume FROM ({STATUS_VOLUME}) GR
         "asset_label": f"""{RELATION}
 SELECT raw_asset, {LABEL} AS label, count(*) AS rows FROM bridges GROUP BY 1, 2""",
         "bridge_table": _activity("month"),
+        "bridge_table_refresh": _activity("month"),
     }

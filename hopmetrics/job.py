@@ -4,7 +4,7 @@
 
 ``T`` and ``M`` are Parquet paths or catalog tables. The first run writes the
 bridge table ``B``; a later run with ``--since`` decodes only the feeds from that
-day on and replaces those partitions. ``FOLDER`` gets one Parquet folder per
+day on and replaces all partitions from there. ``FOLDER`` gets one Parquet folder per
 report and view, and must not hold them yet.
 """
 
@@ -78,17 +78,19 @@ def update_table(
     """Write the whole bridge table, or its partitions from ``since`` on, and read it.
 
     Records settle late, so ``since`` should reach back as far as they may change.
-    It is moved to the start of its partition: a partition is replaced as a whole.
+    It is moved to the start of its partition: a partition is replaced as a whole, and
+    removed if it has no records any more.
     """
     sources = [feeds.read_transfers(spark, transfers), feeds.read_messages(spark, messages)]
-    mode = "errorifexists"
     if since is not None:
-        store.read_bridges(spark, table, partition)  # raises if there is no table to refresh
+        store.read_bridges(spark, table, partition)  # raises if there is no such table to refresh
         first = store.partition_start(partition, since)
         sources = [date_range(feed, first) for feed in sources]
-        mode = "overwrite"
     relation = normalize.bridges(*sources, routers, message_routers)
-    store.write_bridges(relation, table, partition, mode)
+    if since is None:
+        store.write_bridges(relation, table, partition)
+    else:
+        store.refresh_bridges(relation, table, since, partition)
     return store.read_bridges(spark, table, partition)
 
 

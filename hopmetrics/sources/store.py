@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopmetrics.functions.calendar import PARTITION_COLUMNS, as_date, day_start
+from hopmetrics.functions.calendar import PARTITION_COLUMNS, as_date, date_range, day_start
 from hopmetrics.sources import schemas
 
 # Rows of the table are narrow, and an aggregation keeps several entries for each
@@ -54,8 +54,8 @@ def write_bridges(
     The rebalance hint lets adaptive execution split a hot day over several
     tasks and files, and merge the tiny ones, at the advisory partition size.
     Rows are sorted by time within a file so that row groups can be skipped.
-    ``mode="overwrite"`` replaces only the partitions present in ``bridges``, so
-    late days can be refreshed alone.
+    ``mode="overwrite"`` replaces only the partitions present in ``bridges``;
+    ``refresh_bridges`` replaces all from a day on.
     """
     grain = PARTITION_COLUMNS[partition]
     (
@@ -70,9 +70,52 @@ def write_bridges(
     )
 
 
+def _file_system(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _partitions(spark: SparkSession, path: str, partition: str) -> list[str]:
+    """Folders of the table; raises if one is not of that partition column."""
+    folder, files = _file_system(spark, path)
+    names = [status.getPath().getName() for status in files.listStatus(folder)]
+    names = [name for name in names if not name.startswith(("_", "."))]
+    for name in names:
+        if not name.startswith(f"{partition}="):
+            raise ValueError(f"{path} is not partitioned by {partition}: it holds {name}")
+    return names
+
+
+def refresh_bridges(bridges: DataFrame, path: str, since: dt.date | str, partition: str = "created_day") -> None:
+    """Replace all partitions from that of ``since`` on by the rows of ``bridges`` from there on.
+
+    Partitions in which ``bridges`` has no row are removed. The write comes first; a file
+    that outlives it is in a partition that it did not replace. If the driver dies
+    between the two, the same refresh has to be run again. Rows without a time stay.
+    """
+    spark = bridges.sparkSession
+    first = partition_start(partition, since)
+    old = {}
+    for name in _partitions(spark, path, partition):
+        value = name.split("=", 1)[1]
+        if value != "__HIVE_DEFAULT_PARTITION__" and dt.date.fromisoformat(value) >= first:
+            folder, files = _file_system(spark, f"{path}/{name}")
+            old[name] = {status.getPath().getName() for status in files.listStatus(folder)}
+    write_bridges(date_range(bridges, first), path, partition, "overwrite")
+    for name in old.keys() & set(_partitions(spark, path, partition)):
+        folder, files = _file_system(spark, f"{path}/{name}")
+        if old[name] >= {status.getPath().getName() for status in files.listStatus(folder)}:
+            files.delete(folder, True)
+
+
 def read_bridges(spark: SparkSession, path: str, partition: str = "created_day") -> DataFrame:
-    """The written relation with its partition column, which ``date_range`` prunes by."""
-    return spark.read.schema(f"{schemas.BRIDGES}, {partition} DATE").parquet(path)
+    """The written relation with its partition column, which ``date_range`` prunes by.
+
+    Raises if the table is partitioned by another column.
+    """
+    table = spark.read.schema(f"{schemas.BRIDGES}, {partition} DATE").parquet(path)
+    _partitions(spark, path, partition)
+    return table
 
 
 def write_report(report: DataFrame, path: str) -> None:
