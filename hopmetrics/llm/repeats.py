@@ -1,7 +1,8 @@
 """Repeated byte strings, removed: every byte of a ``SPAN``-byte string that starts anywhere else.
 
-Suffixes are sorted and compared by merging Burrows-Wheeler transforms, in a form that
-Spark can spread:
+Suffixes are sorted within bins of aligned occurrences. No Burrows-Wheeler transform is built
+or merged: a bin is whole in one task, so there are no shards whose orders would have to be
+interleaved, and a radix sort by column gives the order and the common prefixes at once.
 
 1. Windows of ``SPAN`` bytes are dealt out by content: a window's anchor is the
    ``ANCHOR``-byte string in it with the smallest hash (the last of equal ones). Equal
@@ -9,11 +10,9 @@ Spark can spread:
    stretches that may repeat go on. Equal surroundings of an anchor are one occurrence
    with their number; two or more of them are repeated as a whole.
 2. The occurrences of an anchor, with the bytes around it, stand aligned below each other (a
-   bin). Occurrences come in shards. The columns from the right to the left are the steps
-   of a Burrows-Wheeler transform: every step takes each shard's rows in suffix order, as
-   the step before left them, and interleaves them by one more character, by a stable
-   partition of the merged order; nothing is sorted again from the start. Common prefixes
-   of neighbours follow from those of the step before: plus one where the character is the
+   bin). A bin's rows are radix-sorted column by column, from the right to the left: every
+   step takes the rows in suffix order, as the step before left them, and sorts them stably
+   by bin and one more character. Common prefixes of neighbours follow from those of the step before: plus one where the character is the
    same, over the least in between.
 3. At each column, neighbours with a common prefix of ``SPAN`` or more start a repeated
    string. These starts, put together by document, give the bytes to remove.
