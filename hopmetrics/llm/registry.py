@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hopmetrics.llm import (
+    byte_bpe,
     chat,
     decontamination,
     embeddings_index,
@@ -17,6 +18,8 @@ from hopmetrics.llm import (
     repeats,
     sharding,
     toxicity,
+    vector_codes,
+    whitening,
 )
 
 QUERIES = {
@@ -30,6 +33,9 @@ QUERIES = {
     "op8_decontamination": decontamination,
     "op9_packing": packing,
     "op10_line_dedup": line_dedup,
+    "op11_byte_bpe": byte_bpe,
+    "op12_vector_codes": vector_codes,
+    "op13_whitening": whitening,
 }
 
 

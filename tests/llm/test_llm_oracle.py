@@ -14,7 +14,7 @@ SF = f"{DATA}/sf0.001"
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_operator_matches_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "labels", "conversations"):
+    for table in ("documents", "embeddings", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     cursor = con.execute(registry.oracle_sql()[name])
     columns = [c[0] for c in cursor.description]
