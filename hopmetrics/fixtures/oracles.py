@@ -167,6 +167,13 @@ SELECT source_chain, CASE WHEN is_new THEN 'New' ELSE 'Old' END AS user_status,
 FROM labelled GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2"""
 
 
+def _each(rows: str) -> str:
+    return f"""{RELATION}, {STATUS_JOIN}
+SELECT id, created_at, CASE WHEN is_new THEN 'New Users' ELSE 'Returning Users' END AS user_status,
+       count(*) AS copies
+FROM {rows} GROUP BY 1, 2, 3"""
+
+
 def _shares(report: str, keys: str, values: list[str]) -> str:
     columns = ", ".join(f"{v} / sum({v}) OVER () * 100 AS {v}_share" for v in values)
     return f"SELECT {keys}, {', '.join(values)}, {columns} FROM ({report})"
@@ -219,6 +226,9 @@ CANONICAL = (
 def oracle_sql() -> dict[str, str]:
     whole = _whole_range()
     mid_range = {f"{name}_mid_range": _moved(whole[name]) for name in RANGED}
+    mid_range["status_rows_each_mid_range"] = _moved(_each("labelled"))
+    for name in ("user_growth", "status_volume_by_period", "status_volume", "source_chain_status_users"):
+        mid_range[f"{name}_from_state"] = _moved(whole[name])
     return {**whole, **mid_range}
 
 
@@ -331,6 +341,7 @@ WHERE first_date BETWEEN DATE '{START}' AND DATE '{END}' GROUP BY 1""",
         "status_join": f"""{RELATION}, {STATUS_JOIN}
 SELECT CASE WHEN is_new THEN 'New Users' ELSE 'Returning Users' END AS user_status, count(*) AS rows
 FROM joined GROUP BY 1""",
+        "status_rows_each": _each("joined"),
         "status_volume_share": f"""
 SELECT date, user_status, volume, volume / sum(volume) OVER (PARTITION BY date) * 100 AS percentage
 FROM ({_status_by_period("month")})""",
@@ -348,6 +359,9 @@ FROM ({_status_by_period("month")}) GROUP BY 1""",
 SELECT user_status, coalesce(sum(volume), 0) AS volume FROM ({STATUS_VOLUME}) GROUP BY 1""",
         "asset_label": f"""{RELATION}
 SELECT raw_asset, {LABEL} AS label, count(*) AS rows FROM bridges GROUP BY 1, 2""",
+        "first_activity_state": f"{RELATION} SELECT wallet, min(created_at) AS first_ts FROM bridges GROUP BY 1",
+        "status_volume_by_period_from_totals": _status_by_period("month"),
+        "status_volume_from_totals": STATUS_VOLUME,
         "bridge_table": _activity("month"),
         "bridge_table_refresh": _activity("month"),
     }

@@ -23,7 +23,7 @@ from hopmetrics.functions.calendar import bucket, date_range, trailing_days
 from hopmetrics.functions.numeric import clean_double, safe_product
 from hopmetrics.operators import cohorts, normalize, profile
 from hopmetrics.plans import reports
-from hopmetrics.sources import store
+from hopmetrics.sources import first_activity, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -167,6 +167,12 @@ def median_by_period(bridges: DataFrame, start, end) -> DataFrame:
     return profile.medians(values, ["date"])
 
 
+def status_rows_each(bridges: DataFrame, start=None, end=None) -> DataFrame:
+    """Status and copies of every row, ids of several rows together."""
+    each = cohorts.status_of_each(cohorts.status_rows_each(bridges, start, end))
+    return each.groupBy("id", "created_at", "user_status").agg(F.sum("copies").alias("copies"))
+
+
 def asset_label(bridges: DataFrame) -> DataFrame:
     labelled = with_asset_label(bridges)
     return labelled.groupBy("raw_asset", F.col("symbol").alias("label")).agg(_rows())
@@ -193,6 +199,46 @@ def bridge_table_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.activity_by_period(bridges, "month", START, END)
 
 
+def _refreshed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Table and first activity after a refresh; before it, records of some wallets were earlier by years."""
+    table, state = (store.new_table_path(spark, name) for name in ("bridges", "first-activity"))
+    relation = feeds.bridges(spark, sf_dir)
+    since, partition = "1994-01-01", "created_month"
+    early = F.pmod(F.xxhash64("wallet"), F.lit(3)) == 0
+    moved = F.when(early, F.greatest(F.col("created_at") - F.expr("INTERVAL 24 MONTH"), F.lit(since).cast("timestamp_ntz")))
+    store.write_bridges(relation.withColumn("created_at", F.coalesce(moved, "created_at")), table, partition)
+    first_activity.write_state(spark, table, state, partition)
+    store.refresh_bridges(relation, table, since, partition)
+    first_activity.refresh_state(spark, table, state, since, partition)
+    return store.read_bridges(spark, table, partition), first_activity.read_state(spark, state, partition)
+
+
+def _from_state(report: Callable[..., DataFrame], *arguments) -> Query:
+    """A report on users over the middle range, with the history before it from the kept state."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bridges, state = _refreshed(spark, sf_dir)
+        return report(first_activity.with_history(bridges, state, MID_START, "created_month"), *arguments, MID_START, MID_END)
+
+    return run
+
+
+def first_activity_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cohorts.first_activity_ts(_refreshed(spark, sf_dir)[1])
+
+
+def _from_status_totals(report: str) -> Query:
+    """A report from the stored status aggregate."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = store.new_table_path(spark, "status-totals")
+        totals = cohorts.status_totals(feeds.bridges(spark, sf_dir, USD), START, END)
+        store.write_report(totals, path)
+        return reports.from_status_totals("month")[report](spark.read.schema(totals.schema).parquet(path))
+
+    return run
+
+
 GRAIN_REPORTS = ("activity_by_period", "user_growth", "status_volume_by_period")
 TRAILING_REPORTS = ("kpis_7d", "kpis_30d")
 
@@ -230,6 +276,7 @@ VIEWS: dict[str, Query] = {
 
 ACTIVITY = reports.COLUMNS["user_growth"]
 USD = reports.COLUMNS["status_volume"]
+EACH = ("created_at", "wallet", "id")
 
 OPERATORS: dict[str, Query] = {
     "scan_transfers": scan(feeds.transfers),
@@ -260,8 +307,17 @@ OPERATORS: dict[str, Query] = {
     "first_activity_date": _on_bridges(cohorts.first_activity_date, columns=ACTIVITY),
     "users_by_period": _on_bridges(cohorts.users_by_period, "month", START, END, columns=ACTIVITY),
     "new_users_by_period": _on_bridges(cohorts.new_users_by_period, "month", START, END, columns=ACTIVITY),
+    "status_rows_each": _on_bridges(status_rows_each, columns=EACH),
+    "status_rows_each_mid_range": _on_bridges(status_rows_each, MID_START, MID_END, columns=EACH),
     "status_join": _on_bridges(cohorts.status_rows, columns=USD),
     "asset_label": _on_bridges(asset_label, columns=("raw_asset",)),
+    "first_activity_state": first_activity_state,
+    "user_growth_from_state": _from_state(reports.user_growth, "month"),
+    "status_volume_by_period_from_state": _from_state(reports.status_volume_by_period, "month"),
+    "status_volume_from_state": _from_state(reports.status_volume),
+    "source_chain_status_users_from_state": _from_state(reports.source_chain_status_users),
+    "status_volume_by_period_from_totals": _from_status_totals("status_volume_by_period"),
+    "status_volume_from_totals": _from_status_totals("status_volume"),
     "bridge_table": bridge_table,
     "bridge_table_refresh": bridge_table_refresh,
 }

@@ -21,25 +21,30 @@ if __package__ in (None, ""):
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
 from hopmetrics.functions.calendar import date_range  # noqa: E402
-from hopmetrics.operators import normalize  # noqa: E402
+from hopmetrics.operators import cohorts, normalize  # noqa: E402
 from hopmetrics.plans import reports  # noqa: E402
-from hopmetrics.sources import feeds, store  # noqa: E402
+from hopmetrics.sources import feeds, first_activity, store  # noqa: E402
 
 
 CONCURRENT_REPORTS = 4
 
 
-def all_reports(bridges: DataFrame, grain: str, start, end, as_of=None) -> dict[str, DataFrame]:
-    """Every report by name, not yet run."""
+def all_reports(
+    bridges: DataFrame, grain: str, start, end, as_of=None, seen: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """Every report by name, not yet run; those on volume by status as the table they follow from.
+
+    ``seen`` is the relation for the reports on new and returning users, if it is another.
+    """
+    seen = bridges if seen is None else seen
     return {
         "period_kpis": reports.period_kpis(bridges, start, end),
         "kpis_7d": reports.kpis_7d(bridges, as_of),
         "kpis_30d": reports.kpis_30d(bridges, as_of),
         "activity_by_period": reports.activity_by_period(bridges, grain, start, end),
-        "user_growth": reports.user_growth(bridges, grain, start, end),
-        "status_volume_by_period": reports.status_volume_by_period(bridges, grain, start, end),
-        "status_volume": reports.status_volume(bridges, start, end),
-        "source_chain_status_users": reports.source_chain_status_users(bridges, start, end),
+        "user_growth": reports.user_growth(seen, grain, start, end),
+        "status_totals": cohorts.status_totals(seen, start, end),
+        "source_chain_status_users": reports.source_chain_status_users(seen, start, end),
         "txn_count_buckets": reports.txn_count_buckets(bridges, start, end),
         "amount_buckets": reports.amount_buckets(bridges, start, end),
         "asset_breakdown": reports.asset_breakdown(bridges, start, end),
@@ -48,21 +53,22 @@ def all_reports(bridges: DataFrame, grain: str, start, end, as_of=None) -> dict[
     }
 
 
-def write_reports(spark: SparkSession, made: dict[str, DataFrame], out: str) -> None:
-    """Write each report, and its views from the written rows.
+def write_reports(spark: SparkSession, made: dict[str, DataFrame], out: str, grain: str = "month") -> None:
+    """Write each report, and what follows from it (reports, views) from the written rows.
 
     A few reports run side by side, so that the short last stages of one do not
     leave the cluster idle.
     """
+    follows = {**reports.VIEWS, "status_totals": reports.from_status_totals(grain)}
 
-    def write(name: str) -> None:
-        store.write_report(made[name], f"{out}/{name}")
-        rows = spark.read.schema(made[name].schema).parquet(f"{out}/{name}")
-        for view, build in reports.VIEWS.get(name, {}).items():
-            store.write_report(build(rows), f"{out}/{view}")
+    def write(name: str, report: DataFrame) -> None:
+        store.write_report(report, f"{out}/{name}")
+        rows = spark.read.schema(report.schema).parquet(f"{out}/{name}")
+        for other, build in follows.get(name, {}).items():
+            write(other, build(rows))
 
     with ThreadPoolExecutor(CONCURRENT_REPORTS) as pool:
-        list(pool.map(write, made))
+        list(pool.map(write, made, made.values()))
 
 
 def update_table(
@@ -74,9 +80,12 @@ def update_table(
     message_routers=None,
     partition: str = "created_day",
     since=None,
+    state: str | None = None,
 ) -> DataFrame:
     """Write the whole bridge table, or its partitions from ``since`` on, and read it.
 
+    ``state`` is the path of the first activity kept beside the table (``first_activity``).
+
     Records settle late, so ``since`` should reach back as far as they may change.
     It is moved to the start of its partition: a partition is replaced as a whole, and
     removed if it has no records any more.
@@ -89,8 +98,12 @@ def update_table(
     relation = normalize.bridges(*sources, routers, message_routers)
     if since is None:
         store.write_bridges(relation, table, partition)
+        if state is not None:
+            first_activity.write_state(spark, table, state, partition)
     else:
         store.refresh_bridges(relation, table, since, partition)
+        if state is not None:
+            first_activity.refresh_state(spark, table, state, since, partition)
     return store.read_bridges(spark, table, partition)
 
 
@@ -108,14 +121,19 @@ def run(
     message_routers=None,
     partition: str = "created_day",
     since=None,
+    state: str | None = None,
 ) -> None:
-    update_table(spark, transfers, messages, table, routers, message_routers, partition, since)
+    update_table(spark, transfers, messages, table, routers, message_routers, partition, since, state)
     # The feeds were read with the session's split size; only the table takes the small one.
     split_size = "spark.sql.files.maxPartitionBytes"
     if not spark.sparkContext.getConf().contains(split_size):
         spark.conf.set(split_size, store.ROW_GROUP_BYTES)
     bridges = store.read_bridges(spark, table, partition)
-    write_reports(spark, all_reports(bridges, grain, start, end, as_of), out)
+    seen = None
+    if state is not None:
+        kept = first_activity.read_state(spark, state, partition)
+        seen = first_activity.with_history(bridges, kept, start, partition)
+    write_reports(spark, all_reports(bridges, grain, start, end, as_of, seen), out, grain)
 
 
 def main() -> None:
@@ -131,6 +149,7 @@ def main() -> None:
     parser.add_argument("--router", action="append", help="router address, repeatable")
     parser.add_argument("--partition", default="created_day", choices=["created_day", "created_month"])
     parser.add_argument("--since", help="first day to decode again (all)")
+    parser.add_argument("--state", help="path of the users' first activity, kept beside the table (none)")
     arguments = parser.parse_args()
     spark = SparkSession.builder.appName("hopmetrics").getOrCreate()
     run(
@@ -146,6 +165,7 @@ def main() -> None:
         arguments.router or normalize.ROUTERS,
         partition=arguments.partition,
         since=arguments.since,
+        state=arguments.state,
     )
 
 

@@ -29,6 +29,10 @@ from hopmetrics.operators.normalize import lower_chains
 
 NEW, RETURNING = "New Users", "Returning Users"
 
+#: Groups that the rows of one instant, or of one wallet and instant, are dealt to when
+#: their status is looked up.
+SALTS = 16
+
 
 def first_activity_ts(bridges: DataFrame) -> DataFrame:
     """(wallet, first_ts) over all time; rows without a wallet form one group."""
@@ -190,9 +194,62 @@ def status_rows(bridges: DataFrame, start=None, end=None) -> DataFrame:
     return status_totals(bridges, start, end).groupBy("user_status").agg(F.sum("rows").alias("rows"))
 
 
+def status_rows_each(bridges: DataFrame, start=None, end=None) -> DataFrame:
+    """The rows of the range with ``is_new`` and ``copies``, chain names in lower case.
+
+    The status join emits a row ``copies`` times, once as new if ``is_new`` and else as
+    returning; ``status_of_each`` writes that out. Nothing fans out here: each row is met
+    by at most one row of two lookups with unique keys, wallet and first instant, and the
+    instants that are first for several users (others make no copies). Both sides carry
+    a salt, so that an instant or a wallet's instant with a third of all rows is dealt
+    to ``SALTS`` groups. Rows without a wallet are never new, and rows without a time
+    are in no range and have one copy. Repeated rows are kept.
+    """
+    rows, at, in_range = _clamped(lower_chains(bridges), start, end)
+    firsts = rows.groupBy("wallet").agg(F.min(at).alias("first_ts")).filter(F.col("first_ts").isNotNull())
+    if start is not None:  # what is first before the range meets no row in it
+        firsts = firsts.filter(F.to_date("first_ts") >= F.lit(as_date(start)))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    own = firsts.filter(F.col("wallet").isNotNull()).select(
+        F.col("wallet").alias("_wallet"), F.col("first_ts").alias("_first"), salts
+    )
+    ties = firsts.groupBy("first_ts").agg(F.count(F.lit(1)).alias("_firsts")).filter(F.col("_firsts") > 1)
+    ties = ties.select(F.col("first_ts").alias("_instant"), "_firsts", salts.alias("_tie_salt"))
+
+    columns = rows.columns
+    # By a hash of the whole row, so that a task run again deals its rows as before.
+    salted = rows.filter(in_range).withColumn("_deal", F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int"))
+    met = salted.join(
+        own,
+        (salted["wallet"] == own["_wallet"]) & (salted["created_at"] == own["_first"]) & (salted["_deal"] == own["_salt"]),
+        "left",
+    )
+    met = met.join(ties, (met["created_at"] == ties["_instant"]) & (met["_deal"] == ties["_tie_salt"]), "left")
+    return met.select(
+        *columns,
+        F.col("_wallet").isNotNull().alias("is_new"),
+        F.coalesce("_firsts", F.lit(1).cast("long")).alias("copies"),
+    )
+
+
+def status_of_each(each: DataFrame) -> DataFrame:
+    """``status_rows_each`` with ``user_status`` and how often a row comes out with it, instead of ``is_new``."""
+    once = F.col("is_new").cast("long")
+    sides = F.array(
+        F.struct(F.lit(NEW).alias("user_status"), once.alias("copies")),
+        F.struct(F.lit(RETURNING).alias("user_status"), (F.col("copies") - once).alias("copies")),
+    )
+    columns = [c for c in each.columns if c not in ("is_new", "copies")]
+    return each.select(*columns, F.inline(sides)).filter(F.col("copies") > 0)
+
+
 def status_volume(bridges: DataFrame, start=None, end=None, grain: str | None = None) -> DataFrame:
     """([date,] user_status, volume): USD the status join emits, whole dollars."""
-    totals = status_totals(bridges, start, end)
+    return status_volume_of(status_totals(bridges, start, end), grain)
+
+
+def status_volume_of(totals: DataFrame, grain: str | None = None) -> DataFrame:
+    """([date,] user_status, volume) from ``status_totals``, which may have been written before."""
     keys = ["user_status"]
     if grain is not None:
         totals = totals.withColumn("date", bucket(grain, F.col("at")))

@@ -187,6 +187,18 @@ def dest_chain_breakdown(bridges: DataFrame, start, end) -> DataFrame:
     return _chain_breakdown(bridges, "destination_chain", start, end)
 
 
+def from_status_totals(grain: str) -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """The two reports on volume by status, from the written rows of ``cohorts.status_totals``.
+
+    The costly part, by wallet and instant, is done once for both and for any grain; what
+    is left adds up a row per instant and status.
+    """
+    return {
+        "status_volume_by_period": lambda totals: cohorts.status_volume_of(totals, grain).orderBy("date", "user_status"),
+        "status_volume": cohorts.status_volume_of,
+    }
+
+
 # Views: what the charts add to a finished report (a few rows).
 
 

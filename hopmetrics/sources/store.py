@@ -8,6 +8,7 @@ each report by a column-pruned, partition-pruned scan of a narrow table.
 from __future__ import annotations
 
 import datetime as dt
+import json
 import tempfile
 import uuid
 
@@ -22,6 +23,9 @@ from hopmetrics.sources import schemas
 # spark.sql.files.maxPartitionBytes to match) for those entries to fit.
 ROW_GROUP_BYTES = 32 * 1024 * 1024
 
+#: File in a table that names the refresh under way.
+MARKER = "_refresh"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
@@ -86,36 +90,111 @@ def _partitions(spark: SparkSession, path: str, partition: str) -> list[str]:
     return names
 
 
-def refresh_bridges(bridges: DataFrame, path: str, since: dt.date | str, partition: str = "created_day") -> None:
+def _read_marker(spark: SparkSession, path: str) -> dict | None:
+    """The refresh under way in this table: its first day, partition column and folder of new rows."""
+    marker, files = _file_system(spark, f"{path}/{MARKER}")
+    if not files.exists(marker):
+        return None
+    stream = files.open(marker)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def _write_marker(spark: SparkSession, path: str, content: dict) -> None:
+    """In one step: written under another name, then renamed."""
+    marker, files = _file_system(spark, f"{path}/{MARKER}")
+    made, _ = _file_system(spark, f"{path}/{MARKER}-{uuid.uuid4().hex}")
+    stream = files.create(made, True)
+    try:
+        stream.write(bytearray(json.dumps(content).encode()))
+    finally:
+        stream.close()
+    if not files.rename(made, marker):
+        raise OSError(f"could not write {path}/{MARKER}")
+
+
+def _new_rows_folders(spark: SparkSession, path: str) -> list[str]:
+    """Folders beside the table that refreshes wrote their rows to."""
+    table, files = _file_system(spark, path)
+    names = [status.getPath().getName() for status in files.listStatus(table.getParent())]
+    return [f"{path.rstrip('/')}{name[len(table.getName()):]}" for name in names if name.startswith(f"{table.getName()}.refresh-")]
+
+
+def _on_or_after(name: str, first: dt.date) -> bool:
+    value = name.split("=", 1)[1]
+    return value != "__HIVE_DEFAULT_PARTITION__" and dt.date.fromisoformat(value) >= first
+
+
+def refresh_bridges(
+    bridges: DataFrame,
+    path: str,
+    since: dt.date | str,
+    partition: str = "created_day",
+    schema: str = schemas.BRIDGES,
+) -> None:
     """Replace all partitions from that of ``since`` on by the rows of ``bridges`` from there on.
 
-    Partitions in which ``bridges`` has no row are removed. The write comes first; a file
-    that outlives it is in a partition that it did not replace. If the driver dies
-    between the two, the same refresh has to be run again. Rows without a time stay.
+    Partitions in which ``bridges`` has no row are removed, rows without a time stay. The
+    new rows are first written beside the table. A marker in the table then names them and
+    their range: from that moment on readers take the range from there, before it from
+    the table, so that they see either the old rows or the new ones. After that the new
+    rows are copied into the table, what is left of the old ones is removed, and the
+    marker goes last. A driver may die anywhere: without a marker nothing has happened,
+    with one the next refresh completes the copy first. One refresh of a table runs at a time.
     """
     spark = bridges.sparkSession
+    finish_refresh(spark, path, schema)
     first = partition_start(partition, since)
-    old = {}
+    _partitions(spark, path, partition)
+    for folder in _new_rows_folders(spark, path):  # of earlier refreshes, for readers that had begun
+        _delete(spark, folder)
+    beside = f"{path.rstrip('/')}.refresh-{uuid.uuid4().hex}"
+    write_bridges(date_range(bridges, first), beside, partition)
+    _write_marker(spark, path, {"first": first.isoformat(), "partition": partition, "folder": beside})
+    finish_refresh(spark, path, schema)
+
+
+def finish_refresh(spark: SparkSession, path: str, schema: str = schemas.BRIDGES) -> None:
+    """Complete the refresh that a marker names; nothing to do without one. May be run again."""
+    marker = _read_marker(spark, path)
+    if marker is None:
+        return
+    partition, first = marker["partition"], dt.date.fromisoformat(marker["first"])
+    rows = _read(spark, marker["folder"], partition, schema).drop(partition)
+    write_bridges(rows, path, partition, "overwrite")
+    made = set(_partitions(spark, marker["folder"], partition))
     for name in _partitions(spark, path, partition):
-        value = name.split("=", 1)[1]
-        if value != "__HIVE_DEFAULT_PARTITION__" and dt.date.fromisoformat(value) >= first:
-            folder, files = _file_system(spark, f"{path}/{name}")
-            old[name] = {status.getPath().getName() for status in files.listStatus(folder)}
-    write_bridges(date_range(bridges, first), path, partition, "overwrite")
-    for name in old.keys() & set(_partitions(spark, path, partition)):
-        folder, files = _file_system(spark, f"{path}/{name}")
-        if old[name] >= {status.getPath().getName() for status in files.listStatus(folder)}:
-            files.delete(folder, True)
-
-
-def read_bridges(spark: SparkSession, path: str, partition: str = "created_day") -> DataFrame:
+        if name not in made and _on_or_after(name, first):
+            _delete(spark, f"{path}/{name}")
+    _delete(spark, f"{path}/{MARKER}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder, files = _file_system(spark, path)
+    files.delete(folder, True)
+
+
+def _read(spark: SparkSession, path: str, partition: str, schema: str) -> DataFrame:
+    return spark.read.schema(f"{schema}, {partition} DATE").parquet(path)
+
+
+def read_bridges(
+    spark: SparkSession, path: str, partition: str = "created_day", schema: str = schemas.BRIDGES
+) -> DataFrame:
     """The written relation with its partition column, which ``date_range`` prunes by.
 
-    Raises if the table is partitioned by another column.
+    Raises if the table is partitioned by another column. Where a refresh has not been
+    completed, the rows of its range come from beside the table.
     """
-    table = spark.read.schema(f"{schemas.BRIDGES}, {partition} DATE").parquet(path)
+    table = _read(spark, path, partition, schema)
     _partitions(spark, path, partition)
-    return table
+    marker = _read_marker(spark, path)
+    if marker is None:
+        return table
+    before = F.col(partition).isNull() | (F.col(partition) < F.lit(marker["first"]).cast("date"))
+    return table.filter(before).unionByName(_read(spark, marker["folder"], partition, schema))
 
 
 def write_report(report: DataFrame, path: str) -> None:
