@@ -153,32 +153,35 @@ class Vocabulary:
 
     def merged(self, piece: bytes) -> list[int]:
         """Ids of a pre-token by merges, the lowest rank first."""
-        n, base, pairs = len(piece), self.base, self.pairs
+        n, base, pair = len(piece), self.base, self.pairs.get
         ids = list(map(self.single.__getitem__, piece))
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-        for at in range(n - 1):
-            rank = pairs.get(ids[at] * base + ids[at + 1])
-            if rank is not None:
-                heap.append(rank * n + at)  # by rank, then by place
+        # What each token and its next one make, or None; the heap holds these by rank, then place.
+        made = [pair(left * base + right) for left, right in zip(ids, ids[1:], strict=False)]
+        made.append(None)
+        heap = [rank * n + at for at, rank in enumerate(made) if rank is not None]
         heapq.heapify(heap)
         while heap:
-            rank, at = divmod(heapq.heappop(heap), n)
-            right = after[at]
-            if ids[at] < 0 or right == n or pairs.get(ids[at] * base + ids[right]) != rank:
+            top = heapq.heappop(heap)
+            at = top % n
+            rank = top // n
+            if made[at] != rank:
                 continue  # one of the two has been merged since
-            ids[at], ids[right] = rank, -1
+            right = after[at]
+            ids[at], ids[right], made[right] = rank, -1, None
             after[at] = follows = after[right]
             if follows < n:
                 before[follows] = at
-                made = pairs.get(rank * base + ids[follows])
-                if made is not None:
-                    heapq.heappush(heap, made * n + at)
+                made[at] = new = pair(rank * base + ids[follows])
+                if new is not None:
+                    heapq.heappush(heap, new * n + at)
+            else:
+                made[at] = None
             ahead = before[at]
             if ahead >= 0:
-                made = pairs.get(ids[ahead] * base + rank)
-                if made is not None:
-                    heapq.heappush(heap, made * n + ahead)
+                made[ahead] = new = pair(ids[ahead] * base + rank)
+                if new is not None:
+                    heapq.heappush(heap, new * n + ahead)
         return [i for i in ids if i >= 0]
 
     def look_up(self, pieces: list[bytes]) -> list[list[int]]:
