@@ -12,13 +12,13 @@ each sketch, if all sketches are cut in one order; the order puts frequent value
 which keeps passages that many documents share out of the lists.
 
 Skew. Lists are never paired in full at first: a list's members are compared with
-``HUBS`` of them, estimate first, and the similar ones become components. What a list then
-still holds in several components goes on in groups (nodes that such lists connect): a
-group is cut into blocks by set size, and each pair of blocks whose sizes are compatible
-is compared by one task on full sets, which returns a forest of links. A pair within
-a component changes nothing, so no link that matters is lost. Rows stand for nodes and not
-for pairs, but a group of many blocks copies each node to a task per block of like size, so
-where lists chain into large groups the rows grow faster than the input.
+``HUBS`` of them, estimate first, and the similar ones become components. A pair within a
+component changes nothing any more. Lists that still hold several components are compared
+one by one, large ones by pairs of blocks, on a bitmap of each sketch that bounds what two
+can share from above. What may be similar leaves as pairs, for the estimate and then the
+full sets; where a list has many such pairs it leaves as members instead, which one task
+compares on full sets, returning a forest of links. So rows stand for members, and for a few
+pairs each, and no link that matters is lost.
 
 Cases: a null or blank text has no shingles, is linked with nothing, and is kept. Rows
 with one ``doc_id`` count as one document in the ids of components, and in ``kept`` of
@@ -46,8 +46,12 @@ K = 96
 #: Similarity in per cent: 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 85
 HUBS = 3
-#: Nodes in a block of a group.
-BLOCK = 500
+#: Members of a list in a block; larger lists are compared block by block.
+BLOCK = 2000
+#: Bits of a node's bitmap.
+BITS = 1024
+#: Pairs for each member, on average, from which a list is compared in one task on full sets.
+DENSE = 4
 #: At most so many values are known as frequent.
 FREQUENT = 20_000
 
@@ -71,6 +75,7 @@ def _sketches(docs: DataFrame, k: int) -> DataFrame:
     schema = pa.schema([("doc", pa.int64()), ("body", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget_kept()
         for batch in batches:
             for part in _parts(batch):
                 sets = words.shingle_sets(part.column(1))
@@ -310,52 +315,98 @@ def _forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return links
 
 
-def _blocks(members: DataFrame, percent: int) -> DataFrame:
-    """task, node: the pairs of blocks of each group, each with its nodes; members: grp, node, n."""
-    # A block is a run of a group's nodes in order of set size. Nodes are numbered by size with
-    # the counts of size classes, a row per class, so that no task sorts a whole group.
-    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int")
-    salt = F.pmod(F.xxhash64("node"), F.lit(1 << 20))
-    classed = members.withColumns({"class": step, "salt": salt})
-    counts = classed.groupBy("grp", "class").agg(F.count("*").alias("c"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("c") / BLOCK)).cast("int")
-    # Similar sets are in one class or in neighbouring ones; a class has blocks of its own.
-    x = counts.select("grp", F.col("class").alias("cx"), blocks.alias("bx"))
-    y = counts.select("grp", F.col("class").alias("cy"), blocks.alias("by"))
-    placed = classed.join(counts.select("grp", "class", blocks.alias("blocks")), ["grp", "class"]).withColumn(
-        "at", F.pmod(F.col("salt"), F.col("blocks")).cast("int")
+def _bitmaps(nodes: DataFrame) -> DataFrame:
+    """node, bits: a bit for each retained value, by its last digits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sketches = [np.frombuffer(s, np.uint64) for s in batch.column(1).to_pylist()]
+            marked = np.zeros((len(sketches), BITS), bool)
+            rows = np.repeat(np.arange(len(sketches)), [len(s) for s in sketches])
+            if len(rows):
+                marked[rows, np.concatenate(sketches) % np.uint64(BITS)] = True
+            packed = np.packbits(marked, axis=1)
+            yield pa.record_batch([batch.column(0), pa.array([r.tobytes() for r in packed], pa.binary())], names=["node", "bits"])
+
+    return nodes.select("node", "sketch").mapInArrow(run, "node long, bits binary")
+
+
+def _pairs_within(begin: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places x < y of all pairs within runs of rows (``begin``, one more for the end), some at a time."""
+    rows = np.arange(begin[-1])
+    partners = np.repeat(begin[1:], np.diff(begin)) - rows - 1
+    upto = np.concatenate([[0], np.cumsum(partners)])
+    low = 0
+    while low < len(rows):
+        high = max(low + 1, int(np.searchsorted(upto, upto[low] + most, "right")) - 1)
+        some = partners[low:high]
+        x = np.repeat(rows[low:high], some)
+        yield x, x + 1 + np.arange(len(x)) - np.repeat(upto[low:high] - upto[low], some)
+        low = high
+
+
+def _candidates(frame: pd.DataFrame, k: int, percent: int) -> pd.DataFrame:
+    """Of lists (value, i, j), what their members may have in common with other components'.
+
+    Two sketches share at most as many values as their bitmaps share bits, and those that
+    fell on one bit in either. Gives pairs (list null, a, b); where a list has many more
+    pairs than members, instead its members that are in one (list, a, b null), for a task of their own.
+    """
+    frame = frame.sort_values(["value", "i", "j", "node"], ignore_index=True)
+    lists = frame[["value", "i", "j"]].to_numpy()
+    begin = np.flatnonzero(np.r_[True, (lists[1:] != lists[:-1]).any(axis=1), True]) if len(frame) else np.zeros(1, int)
+    node, n, label, at = (frame[c].to_numpy() for c in ("node", "n", "label", "at"))
+    bits = np.frombuffer(b"".join(frame["bits"]), np.uint64).reshape(len(frame), -1)
+    size = np.minimum(n, k)
+    slack = size - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    least = np.array([least_shared(c, k, percent) for c in range(k + 1)])[size]
+    apart = frame["i"].to_numpy() != frame["j"].to_numpy()
+    found = [(np.zeros(0, np.int64),) * 2]
+    for x, y in _pairs_within(begin, 1_000_000):
+        near = (label[x] != label[y]) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent)
+        near &= ~apart[x] | (at[x] != at[y])  # pairs within a block have their own task
+        x, y = x[near], y[near]
+        shared = np.bitwise_count(bits[x] & bits[y]).sum(axis=1, dtype=np.int64) + np.minimum(slack[x], slack[y])
+        near = shared >= np.minimum(least[x], least[y])
+        found.append((x[near], y[near]))
+    x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+    of = np.searchsorted(begin, x, "right") - 1
+    dense = np.bincount(of, minlength=max(len(begin) - 1, 1)) > DENSE * np.diff(begin) if len(begin) > 1 else np.zeros(1, bool)
+    few = ~dense[of]
+    out = [pd.DataFrame({"a": np.minimum(node[x], node[y])[few], "b": np.maximum(node[x], node[y])[few]})]
+    for i in np.flatnonzero(dense):
+        members = np.unique(node[np.concatenate([x[of == i], y[of == i]])])
+        # Lists with the same members are one task.
+        key = words._mix(members.view(np.uint64)).sum(dtype=np.uint64).view(np.int64)
+        out.append(pd.DataFrame({"list": key, "a": members}))
+    return pd.concat(out).reindex(columns=["list", "a", "b"]).astype({"list": "Int64", "a": "Int64", "b": "Int64"}).drop_duplicates()
+
+
+def _list_candidates(rest: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """list, a, b of ``_candidates`` for all lists; rest: value, node, n, label, c (members of the list)."""
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    dealt = rest.withColumn("blocks", blocks).withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(_bitmaps(nodes), "node").select(
+        "*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     )
-    pairs = x.join(y, "grp").filter("cy = cx or cy = cx + 1")
-    same = (F.col("cx") == F.col("cy"))
-    tasks = (
-        pairs.select("*", F.explode(F.sequence(F.lit(0), F.col("bx") - 1)).alias("ax"))
-        .select("*", F.explode(F.sequence(F.when(same, F.col("ax")).otherwise(0), F.col("by") - 1)).alias("ay"))
-        .select("grp", "cx", "ax", "cy", "ay", F.monotonically_increasing_id().alias("task"))
+    dealt = dealt.select(
+        "value", "node", "n", "label", "at", "bits", "blocks",
+        F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"),
     )
-    tasks = common.durable(tasks)
-    ends = tasks.select("task", "grp", F.col("cx").alias("class"), F.col("ax").alias("at")).unionByName(
-        tasks.select("task", "grp", F.col("cy").alias("class"), F.col("ay").alias("at"))
-    ).distinct()
-    return placed.join(ends, ["grp", "class", "at"]).select("task", "node")
-
-
-def _promising(members: DataFrame, labels: DataFrame, sketched: DataFrame, k: int, percent: int) -> DataFrame:
-    """Nodes of groups whose sketch shares enough with one of another component."""
+    # Small lists share a task, as many as make a block; blocks of larger ones have their own.
+    tasks = max(1, -(-rest.count() // BLOCK))
+    small = F.col("blocks") == 1
+    task = F.when(small, F.pmod(F.xxhash64("value"), F.lit(tasks))).otherwise(F.xxhash64("value", "i", "j"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        sizes, shared = _shared([np.frombuffer(s, np.uint64) for s in frame["sketch"]])
-        least = np.array([least_shared(int(size), k, percent) for size in sizes])
-        label = frame["label"].to_numpy()
-        near = (shared >= np.minimum(least[:, None], least[None])) & (label[:, None] != label[None])
-        return frame.loc[near.any(1), ["node"]]
+        return _candidates(frame, k, percent)
 
-    rows = _blocks(members, percent).join(labels, "node").join(sketched, "node")
-    return rows.groupBy("task").applyInPandas(run, "node long").distinct()
+    dealt = dealt.withColumns({"small": small, "task": task}).drop("blocks")
+    return dealt.groupBy("small", "task").applyInPandas(run, "list long, a long, b long")
 
 
-def _block_links(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within groups; members: grp, node, n."""
-    rows = _blocks(members, percent).join(full, "node")
+def _dense_links(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect the similar members of each list; members: list, node."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("node")
@@ -363,7 +414,7 @@ def _block_links(members: DataFrame, full: DataFrame, percent: int) -> DataFrame
         links = _forest([np.frombuffer(s, np.uint64) for s in frame["full"]], percent) if len(frame) > 1 else []
         return pd.DataFrame({"a": [nodes[x] for x, _ in links], "b": [nodes[y] for _, y in links]}, dtype="int64")
 
-    return rows.groupBy("task").applyInPandas(run, "a long, b long")
+    return members.join(full, "node").groupBy("list").applyInPandas(run, "a long, b long")
 
 
 def _placed(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -406,21 +457,20 @@ def _placed(docs: DataFrame, k: int, percent: int) -> DataFrame:
     rest = met.filter(~is_hub).select("value", "node", "n").join(labels, "node")
     still = (
         rest.groupBy("value")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("first"))
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("c"))
         .filter("low < high")
     )
-    rest = common.durable(rest.join(still.select("value", "first"), "value").select("node", "n", "first"))
+    rest = common.durable(rest.join(still.select("value", "c"), "value").select("value", "node", "n", "label", "c"))
     if not rest.isEmpty():
-        groups = connected(rest.select(F.col("node").alias("a"), F.col("first").alias("b")))
-        members = common.durable(
-            rest.select("node", "n").distinct().join(groups, "node").select(F.col("label").alias("grp"), "node", "n")
-        )
-        members = common.durable(
-            members.join(_promising(members, labels, sketched, k, percent), "node").select("grp", "node", "n")
-        )
-        more = common.durable(place.join(members.join(full, "node", "left_anti").select("node"), "node"))
+        found = common.durable(_list_candidates(rest, sketched, k, percent).distinct())
+        pairs = found.filter("list is null").select("a", "b")
+        near = common.durable(_estimated(pairs, sketched, k, percent))
+        dense = found.filter("list is not null").select("list", F.col("a").alias("node"))
+        ends = near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(dense.select("node")).distinct()
+        more = common.durable(place.join(ends.join(full, "node", "left_anti"), "node"))
         whole = full if more.isEmpty() else full.unionByName(common.durable(_full_sets(docs, more)))
-        labels = _relabelled(labels, common.durable(_block_links(members, whole, percent)))
+        links = _verified(near, whole, percent).unionByName(_dense_links(dense, whole, percent))
+        labels = _relabelled(labels, common.durable(links))
     grouped = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = grouped.groupBy("label").agg(F.min(F.struct("doc", "body")).alias("first"))
     by_set = common.durable(grouped.join(smallest, "label").select("h1", "h2", "n", "first"))
