@@ -5,10 +5,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: Stands for a null document id: such a document comes after all others.
 NO_ID = 2**63 - 1
 
@@ -70,6 +74,26 @@ def _remove_all() -> None:
     _tables.clear()
 
 
+_kept: list[tuple[object, object]] = []
+
+
+def kept_in_worker(key: object, make: Callable[[], T]) -> T:
+    """What ``make`` gives, made once for all tasks of a Python worker that ask for ``key``.
+
+    A worker outlives its stage, so it keeps only the one asked for last: what an earlier
+    stage learned makes room.
+    """
+    if not _kept or _kept[0][0] != key:
+        _kept.clear()
+        _kept.append((key, make()))
+    return _kept[0][1]
+
+
+def forget_kept() -> None:
+    """Drop what this Python worker keeps, in tasks that need nothing of it."""
+    _kept.clear()
+
+
 def doc_key(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
 

@@ -18,7 +18,6 @@ result. Other columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import itertools
 import re
 import zlib
@@ -36,7 +35,7 @@ from hopmetrics.llm import common
 CAPACITY = 4096
 END_ID = 2
 #: Words kept with their ids in each Python worker; when full, it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 
 
 class _Numbers(dict):
@@ -122,10 +121,9 @@ class Encoder:
         return ids, upto[ends]
 
 
-@functools.lru_cache(maxsize=1)
 def _encoder(path: str, end_id: int) -> Encoder:
     """One for all tasks of a Python worker: the files are read and words learned once."""
-    return Encoder(path, end_id)
+    return common.kept_in_worker(("encoder", path, end_id), lambda: Encoder(path, end_id))
 
 
 def _batches(texts: list[str], most: int = 1_000_000) -> Iterator[list[str]]:

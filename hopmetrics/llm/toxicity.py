@@ -48,7 +48,7 @@ MOST_TERMS = 4000
 STEM_SIZES = range(4, 9)
 #: Terms shorter than this are not met with an edit.
 FUZZY_FROM = 5
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 #: Words of reporting, and quotation marks.
 REPORTING = frozenset("said says quoted quote quotes called word words term terms wrote writes sic dit mot wort sagte dijo palabra".split())
@@ -142,15 +142,9 @@ class Model:
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
-_matchers: dict[str, Matcher] = {}
-
-
 def _matcher(model: Model) -> Matcher:
     """One for all tasks of a Python worker, which keeps the words it has seen."""
-    if model.key not in _matchers:
-        _matchers.clear()
-        _matchers[model.key] = Matcher(model)
-    return _matchers[model.key]
+    return common.kept_in_worker(("matcher", model.key), lambda: Matcher(model))
 
 
 class _Seen(dict):
