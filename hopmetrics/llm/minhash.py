@@ -350,7 +350,8 @@ def _candidates(frame: pd.DataFrame, k: int, percent: int) -> pd.DataFrame:
 
     Two sketches share at most as many values as their bitmaps share bits, and those that
     fell on one bit in either. Gives pairs (list null, a, b); where a list has many more
-    pairs than members, instead its members that are in one (list, a, b null), for a task of their own.
+    pairs than members, one pair of each member, and its members that are in one (list, a, b null),
+    for a task of their own.
     """
     frame = frame.sort_values(["value", "i", "j", "node"], ignore_index=True)
     lists = frame[["value", "i", "j"]].to_numpy()
@@ -373,6 +374,8 @@ def _candidates(frame: pd.DataFrame, k: int, percent: int) -> pd.DataFrame:
     of = np.searchsorted(begin, x, "right") - 1
     dense = np.bincount(of, minlength=max(len(begin) - 1, 1)) > DENSE * np.diff(begin) if len(begin) > 1 else np.zeros(1, bool)
     few = ~dense[of]
+    # Of a dense list the first pair of each member, which may link it before all are compared.
+    few[np.unique(np.stack([of, x]), axis=1, return_index=True)[1]] = True
     out = [pd.DataFrame({"a": np.minimum(node[x], node[y])[few], "b": np.maximum(node[x], node[y])[few]})]
     for i in np.flatnonzero(dense):
         members = np.unique(node[np.concatenate([x[of == i], y[of == i]])])
@@ -405,6 +408,12 @@ def _list_candidates(rest: DataFrame, nodes: DataFrame, k: int, percent: int) ->
     return dealt.groupBy("small", "task").applyInPandas(run, "list long, a long, b long")
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """a, b, la, lb: the pairs between two components, and the components' labels, the smaller first."""
+    ends = pairs.join(labels.toDF("a", "_x"), "a").join(labels.toDF("b", "_y"), "b").filter("_x <> _y")
+    return ends.select("a", "b", F.least("_x", "_y").alias("la"), F.greatest("_x", "_y").alias("lb"))
+
+
 def _dense_links(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect the similar members of each list; members: list, node."""
 
@@ -465,12 +474,33 @@ def _placed(docs: DataFrame, k: int, percent: int) -> DataFrame:
         found = common.durable(_list_candidates(rest, sketched, k, percent).distinct())
         pairs = found.filter("list is null").select("a", "b")
         near = common.durable(_estimated(pairs, sketched, k, percent))
-        dense = found.filter("list is not null").select("list", F.col("a").alias("node"))
-        ends = near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(dense.select("node")).distinct()
-        more = common.durable(place.join(ends.join(full, "node", "left_anti"), "node"))
-        whole = full if more.isEmpty() else full.unionByName(common.durable(_full_sets(docs, more)))
-        links = _verified(near, whole, percent).unionByName(_dense_links(dense, whole, percent))
-        labels = _relabelled(labels, common.durable(links))
+
+        def whole(wanted: DataFrame) -> DataFrame:
+            """Full sets of the wanted nodes at least; those not known yet are made."""
+            nonlocal full
+            more = common.durable(place.join(wanted.distinct().join(full, "node", "left_anti"), "node"))
+            if not more.isEmpty():
+                full = full.unionByName(common.durable(_full_sets(docs, more)))
+            return full
+
+        def linked(pairs: DataFrame) -> DataFrame:
+            """The labels after verifying the pairs."""
+            sets = whole(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+            return _relabelled(labels, common.durable(_verified(pairs, sets, percent)))
+
+        # One pair for each two components first, for most others are then within one.
+        apart = _apart(near, labels)
+        first = common.durable(apart.groupBy("la", "lb").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"))
+        labels = linked(first)
+        left = common.durable(_apart(near.join(first, ["a", "b"], "left_anti"), labels).select("a", "b"))
+        if not left.isEmpty():
+            labels = linked(left)
+        dense = found.filter("list is not null").select("list", F.col("a").alias("node")).join(labels, "node")
+        split = dense.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+        dense = common.durable(dense.join(split.select("list"), "list").select("list", "node"))
+        if not dense.isEmpty():
+            links = _dense_links(dense, whole(dense.select("node")), percent)
+            labels = _relabelled(labels, common.durable(links))
     grouped = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = grouped.groupBy("label").agg(F.min(F.struct("doc", "body")).alias("first"))
     by_set = common.durable(grouped.join(smallest, "label").select("h1", "h2", "n", "first"))
