@@ -285,6 +285,12 @@ def learning_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def _word_counts(rows: DataFrame) -> DataFrame:
     """word, n, t: documents of the lexicon's part with the word, and toxic ones among them."""
 
+    def counted(n: Counter[str], t: Counter[str]) -> Iterator[pd.DataFrame]:
+        words = list(n)
+        for at in range(0, len(words), 10_000):  # small frames, and none without rows
+            part = words[at : at + 10_000]
+            yield pd.DataFrame({"word": part, "n": [n[w] for w in part], "t": [t[w] for w in part]})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter[str] = Counter()
         t: Counter[str] = Counter()
@@ -294,11 +300,11 @@ def _word_counts(rows: DataFrame) -> DataFrame:
                 n.update(found)
                 if toxic:
                     t.update(found)
-            if len(n) > CACHE_WORDS:
-                yield pd.DataFrame({"word": list(n), "n": list(n.values()), "t": [t[w] for w in n]})
-                n.clear()
-                t.clear()
-        yield pd.DataFrame({"word": list(n), "n": list(n.values()), "t": [t[w] for w in n]})
+                if len(n) > CACHE_WORDS:
+                    yield from counted(n, t)
+                    n.clear()
+                    t.clear()
+        yield from counted(n, t)
 
     part = rows.filter("part = 0").select("text", "toxic")
     return (
