@@ -181,13 +181,37 @@ def test_repeats_equal_brute_force(docs, empty, monkeypatch):
         runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         kept = bytes(np.frombuffer(b, np.uint8)[~gone])
         want.append((i, len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
-    for most in (repeats.MOST, 1):
+    # Bins of any size are dealt out again down to single windows; shards of a few rows are merged.
+    for most, shard in ((repeats.MOST, repeats.SHARD), (repeats.MOST, 2), (1, 2), (0, 1)):
         monkeypatch.setattr(repeats, "MOST", most)
+        monkeypatch.setattr(repeats, "SHARD", shard)
         got = [tuple(r) for r in repeats.report(docs).drop("kept").collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
     assert repeats.report(empty).count() == 0
 
 
+def test_merged_transforms_are_the_sorted_suffixes():
+    rng = np.random.default_rng(5)
+    for n, width, n_bins, shard, letters in ((1, 5, 1, 1, 2), (60, 12, 1, 7, 2), (80, 9, 5, 80, 3), (90, 300, 4, 20, 1)):
+        bins = rng.integers(0, n_bins, n).astype(np.uint8)
+        chars = rng.integers(1, letters + 1, (n, width)).astype(np.uint16)
+        for row in chars:  # ragged on both sides
+            row[: rng.integers(0, width // 2 + 1)] = 0
+            row[width - rng.integers(0, width // 2 + 1) :] = 0
+        shards = [repeats.transform(bins[k : k + shard], chars[k : k + shard]) for k in range(0, n, shard)]
+        seen = []
+        for column, rows, prefix in repeats.merge(shards):
+            seen.append(column)
+            assert rows.tolist() == sorted(range(n), key=lambda r: (bins[r], *chars[r, column:]))
+            for rank in range(1, n):
+                a, b = rows[rank - 1], rows[rank]
+                alike = (chars[a, column:] == chars[b, column:]) & (chars[a, column:] > 0)
+                want = int(np.argmin(np.append(alike, False))) if bins[a] == bins[b] else 0
+                assert prefix[rank] == min(want, repeats.SPAN)
+            assert prefix[0] == prefix[n] == 0
+        assert seen == list(range(width))[::-1]
+
+
 def test_licenses_places_and_blocks(docs, empty):
     got = {r.doc_id: r for r in licenses.scan(docs).collect()}
     r = got[16]
