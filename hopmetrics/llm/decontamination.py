@@ -8,15 +8,16 @@ the item is laid over the document and compared token by token. Built-in functio
 
 An overlap is reported if within the item some stretch of ``STRETCH`` tokens (the whole
 item, if it is shorter) has at least ``AGREE`` of its tokens equal. Items of fewer than
-``LEAST`` tokens are left out.
+``WHOLE`` tokens have to stand in the document whole, token by token.
 
 Completeness. Wherever the substituted tokens of such a stretch lie, one of the masks has a
 window within the stretch that avoids them all: ``LONG_MASKS`` in stretches of ``STRETCH``
-tokens, ``SHORT_MASKS`` in those of ``LEAST`` to ``STRETCH - 1`` (by enumeration of all
-patterns, which a test repeats). So no overlap is without a hit. The short masks count fewer
-tokens and are laid over the documents only if the benchmark has so short items.
+tokens, ``SHORT_MASKS`` in those of ``WHOLE`` to ``STRETCH - 1`` (by enumeration of all
+patterns, which a test repeats). So no overlap is without a hit. Items under ``WHOLE`` tokens
+are hashed as a whole, by a mask of their own size. The short and whole masks are laid over
+the documents only if the benchmark has items of these sizes.
 
-Cases: null or empty texts hold no tokens and match nothing. Repeated items give a row
+Cases: null or empty texts and texts without tokens match nothing. Repeated items give a row
 each; rows with the same ``doc_id`` are compared each on its own and reported by their
 id. Empty tables give an empty result. Other columns, whatever their names, are ignored by
 ``overlaps`` and passed on by ``clean``.
@@ -33,11 +34,16 @@ from hopmetrics.llm import common, licenses
 LONG_MASKS = ("111011", "1100001011", "110111")
 #: For shorter items:
 SHORT_MASKS = ("1111", "11011", "1100011")
-MASKS = LONG_MASKS + SHORT_MASKS
 STRETCH = 13
 AGREE = 0.75
-#: Items with fewer tokens than this are no evidence.
-LEAST = 8
+#: Items with fewer tokens than this are met as a whole only.
+WHOLE = 8
+#: Masks, with the least and the most tokens of the items that they are for.
+MASKS = (
+    *((mask, STRETCH, 2**31 - 1) for mask in LONG_MASKS),
+    *((mask, WHOLE, STRETCH - 1) for mask in SHORT_MASKS),
+    *(("1" * n, n, n) for n in range(1, WHOLE)),
+)
 
 
 def tokens(text: Column) -> Column:
@@ -60,21 +66,19 @@ def _seeds(hashes: Column, mask: str) -> Column:
 def _items(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(
         F.col("item_id").cast("long").alias("item_id"), _hashes(common.text_or_empty()).alias("item")
-    ).filter(F.size("item") >= LEAST)
+    ).filter(F.size("item") > 0)
 
 
-def _masks(hashes: Column, long: Column, short: Column) -> Column:
-    """Seeds by mask of ``MASKS``; null for those of a kind that is not wanted."""
-    return F.array(
-        *(F.when(long, _seeds(hashes, mask)) for mask in LONG_MASKS),
-        *(F.when(short, _seeds(hashes, mask)) for mask in SHORT_MASKS),
-    )
+def _needed(length: Column) -> Column:
+    """How many tokens of a stretch have to be equal."""
+    return F.when(length < WHOLE, length).otherwise(F.ceil(length * AGREE))
 
 
 def test_seeds(benchmark: DataFrame) -> DataFrame:
     """mask, seed, item_id, n_item, at: all windows of all items, by the masks for their size."""
-    is_long = F.size("item") >= STRETCH
-    masks = _masks(F.col("item"), is_long, ~is_long)
+    # Null for the masks that are not for the item's size.
+    n = F.size("item")
+    masks = F.array(*(F.when(n.between(least, most), _seeds(F.col("item"), mask)) for mask, least, most in MASKS))
     return (
         _items(benchmark)
         .select("item_id", F.size("item").alias("n_item"), F.posexplode(masks).alias("mask", "seeds"))
@@ -86,10 +90,17 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc, body, item_id, n_item, diagonal: where a seed of the document is one of the item."""
     text = common.text_or_empty()
     hashed = docs.select(common.doc_key().alias("doc"), F.xxhash64(text).alias("body"), _hashes(text).alias("hashes"))
-    sizes = _items(benchmark).agg(F.min(F.size("item")).alias("least"), F.max(F.size("item")).alias("most")).first()
-    masks = _masks(F.col("hashes"), F.lit((sizes.most or 0) >= STRETCH), F.lit((sizes.least or STRETCH) < STRETCH))
+    n = F.size("item")
+    wanted = _items(benchmark).agg(*(F.max(n.between(least, most)) for _, least, most in MASKS)).first()
+    by_mask = [
+        F.struct(F.lit(k).alias("mask"), _seeds(F.col("hashes"), mask).alias("seeds"))
+        for k, (mask, _, _) in enumerate(MASKS)
+        if wanted[k]
+    ]
+    if not by_mask:  # no item has a token
+        by_mask = [F.lit(None).cast("struct<mask:int,seeds:array<bigint>>")]
     return (
-        hashed.select("doc", "body", F.posexplode(masks).alias("mask", "seeds"))
+        hashed.select("doc", "body", F.inline(F.array(*by_mask)))
         .select("doc", "body", "mask", F.posexplode("seeds").alias("pos", "seed"))
         .join(test_seeds(benchmark), ["seed", "mask"])
         .select("doc", "body", "item_id", "n_item", (F.col("pos") - F.col("at")).alias("diagonal"))
@@ -109,7 +120,7 @@ def _best_stretch(equal: Column, length: Column) -> Column:
 def _overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     text = common.text_or_empty()
     texts = docs.select(common.doc_key().alias("doc"), F.xxhash64(text).alias("body"), text.alias("text"))
-    # All hits of a document, as many as its own windows can have.
+    # All hits of a document: of its own windows, times the items that have their seeds.
     per_doc = (
         hits(docs, benchmark)
         .groupBy("doc", "body")
@@ -143,7 +154,7 @@ def _overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         pairs.join(_items(benchmark), "item_id")
         .withColumn("of_item", of_item)
         .withColumn("equal", equal)
-        .filter(_best_stretch(F.col("equal"), length) >= F.ceil(length * AGREE))
+        .filter(_best_stretch(F.col("equal"), length) >= _needed(length))
     )
     n_equal = F.aggregate("equal", F.lit(0), lambda a, x: a + x)
     best = F.max(
@@ -189,13 +200,20 @@ def _sql_key(mask: str) -> str:
 
 
 def _sql_seeds(source: str, id_name: str) -> str:
+    """Of the items, the masks for their size; of the documents, those that some item needs."""
+    needed = "{}" if source == "b" else "EXISTS (SELECT 1 FROM b WHERE {})"
     return " UNION ALL ".join(
         f"""SELECT {id_name}, {m} AS mask, i - 1 AS pos, {_sql_key(mask)} AS seed
-            FROM (SELECT {id_name}, w, unnest(range(1, len(w) - {len(mask)} + 2)) AS i FROM {source})"""
-        for m, mask in enumerate(MASKS)
+            FROM (SELECT {id_name}, w, unnest(range(1, len(w) - {len(mask)} + 2)) AS i FROM {source}
+                  WHERE {needed.format(f"len(b.w) BETWEEN {least} AND {most}")})"""
+        for m, (mask, least, most) in enumerate(MASKS)
     )
 
 
+def _sql_needed(length: str) -> str:
+    return f"CASE WHEN {length} < {WHOLE} THEN {length} ELSE ceil({length} * {AGREE}) END"
+
+
 #: Seeds are the counted words themselves; each diagonal met is compared word by word.
 ORACLE = f"""
 WITH d AS (
@@ -205,7 +223,7 @@ WITH d AS (
     SELECT * FROM (
         SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
             'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark)
-    WHERE len(w) >= {LEAST}
+    WHERE len(w) > 0
 ), ds AS ({_sql_seeds("d", "doc_id")}), bs AS ({_sql_seeds("b", "item_id")}
 ), diagonals AS (
     SELECT DISTINCT doc_id, item_id, ds.pos - bs.pos AS diagonal FROM ds JOIN bs USING (mask, seed)
@@ -222,5 +240,5 @@ WITH d AS (
 )
 SELECT doc_id, item_id, arg_max(first_word, (n_equal, -first_word, n_words))::BIGINT AS first_word,
        arg_max(n_words, (n_equal, -first_word, n_words))::BIGINT AS n_words, max(n_equal)::BIGINT AS n_equal
-FROM judged WHERE best >= ceil(length * {AGREE}) GROUP BY doc_id, item_id
+FROM judged WHERE best >= {_sql_needed("length")} GROUP BY doc_id, item_id
 """

@@ -80,9 +80,10 @@ def test_minhash_dedup_judges_rows_and_not_ids(spark):
 def accepted(doc: list[str], item: list[str]) -> tuple[int, int, int] | None:
     """first_word, n_words, n_equal of the best overlap, from every diagonal and without seeds."""
     length, best = min(len(item), 13), None
+    needed = ceil(0.75 * length) if length >= 8 else length
     for diagonal in range(length - len(item), len(doc) - length + 1):
         equal = [doc[k + diagonal] == w for k, w in enumerate(item) if 0 <= k + diagonal < len(doc)]
-        if any(sum(equal[s : s + length]) >= ceil(0.75 * length) for s in range(len(equal) - length + 1)):
+        if any(sum(equal[s : s + length]) >= needed for s in range(len(equal) - length + 1)):
             found = (sum(equal), -max(diagonal, 0), len(equal))
             best = max(best or found, found)
     return best and (-best[1], best[2], best[0])
@@ -116,3 +117,19 @@ def test_decontamination_equals_all_diagonals(spark, sizes):
     want = {(i, n): a for i, d in enumerate(docs) for n, item in items.items() if (a := accepted(d, item))}
     got = {(r.doc_id, r.item_id): tuple(r)[2:] for r in decontamination.overlaps(table, bench).collect()}
     assert len(want) > 200 and got == want
+
+
+def test_short_items_are_found_whole(spark):
+    """Items of 1 to 7 tokens, alone and beside longer ones, equal all diagonals."""
+    rng = np.random.default_rng(3)
+    letters = [f"t{k}" for k in range(4)]
+    docs = [list(rng.choice(letters, rng.integers(0, 30))) for _ in range(80)]
+    items = {n: list(rng.choice(letters, n)) for n in range(8)} | {8: ["t0"] * 8, 20: docs[5][:20] or ["t1"] * 20}
+    table = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    for some in (range(8), (3, 8, 20), (0,)):
+        bench = spark.createDataFrame([(n, " ".join(items[n])) for n in some], "item_id long, text string")
+        want = {(i, n): a for i, d in enumerate(docs) for n in some if items[n] and (a := accepted(d, items[n]))}
+        got = {(r.doc_id, r.item_id): tuple(r)[2:] for r in decontamination.overlaps(table, bench).collect()}
+        assert got == want and (len(want) > 20 or some == (0,))
+    found = {i for i, n in want}
+    assert decontamination.clean(table, bench).count() == len(docs) - len(found)
