@@ -2,7 +2,8 @@
 
 Lexicon. Words, and beginnings of words (stems), that are far more frequent in documents
 labelled toxic become terms. They stand in a trie. A text's word is a term if the
-automaton of its Levenshtein neighbourhood (one edit) and the trie have a common path;
+automaton of its Levenshtein neighbourhood (one edit, of which a swap of neighbouring
+characters is one) and the trie have a common path;
 words that are frequent in clean documents themselves are never taken for a misspelling.
 
 Context. Each place of a term looks at the ``WINDOW`` words on both sides: quotation marks
@@ -47,7 +48,7 @@ LEAST_WEIGHT, LEAST_Z = 1.5, 5.0
 MOST_TERMS = 4000
 STEM_SIZES = range(4, 9)
 #: Terms shorter than this are not met with an edit.
-FUZZY_FROM = 5
+FUZZY_FROM = 4
 CACHE_WORDS = 150_000
 
 #: Words of reporting, and quotation marks.
@@ -94,7 +95,7 @@ class Trie:
 
         A state is a node of the trie with a state of the word's Levenshtein automaton:
         characters read, and edits left. With ``from_middle`` an edit is made only in the
-        last half of a term.
+        last half of a term; a swap may begin right before it.
         """
         best, least = -1, edits + 1
         size = len(word)
@@ -108,12 +109,19 @@ class Trie:
                     away = edits - left + size - i
                     if away < least or away == least and number < best:
                         best, least = number, away
+                after: list[tuple[int, int, int]] = []
                 if left and (not from_middle or i >= self.half[node]):
-                    after = [(node, i + 1, left - 1)] if i < size else []  # only the word has the character
+                    after += [(node, i + 1, left - 1)] if i < size else []  # only the word has the character
                     for char, child in self.children[node].items():
                         after.append((child, i, left - 1))  # only the term has it
                         if i < size and char != word[i]:
                             after.append((child, i + 1, left - 1))
+                if left and i + 1 < size and word[i] != word[i + 1]:
+                    swapped = self.children[node].get(word[i + 1], -1)
+                    child = self.children[swapped].get(word[i], -1) if swapped >= 0 else -1
+                    if child >= 0 and (not from_middle or i + 1 >= self.half[child]):
+                        after.append((child, i + 2, left - 1))
+                if after:
                     if left > 1:  # several ways may lead to a state
                         after = [state for state in after if state not in seen]
                         seen.update(after)

@@ -292,12 +292,14 @@ def test_packing_covers_all_tokens(docs, empty):
 
 
 def distance(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
+    """Least edits; a swap of neighbours is one, and its characters are not edited again."""
+    d = np.add.outer(np.arange(len(a) + 1), np.arange(len(b) + 1))
     for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
         for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (x != y))
+            if i > 1 and j > 1 and (x, a[i - 2]) == (b[j - 2], y):
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return int(d[-1, -1])
 
 
 @pytest.mark.parametrize("edits", [1, 2])
@@ -311,6 +313,36 @@ def test_automaton_finds_the_nearest_term(edits):
         assert trie.nearest(word, edits) == (away[1] if away[0] <= edits else -1)
 
 
+def test_words_near_a_term_equal_brute_force():
+    rng = np.random.default_rng(7)
+    terms = sorted({"".join(rng.choice(list("abc"), rng.integers(2, 8))) for _ in range(30)})
+    matcher = toxicity.Matcher(toxicity.Model(words=dict.fromkeys(terms, 1.0)))
+    for _ in range(1500):
+        word = "".join(rng.choice(list("abcd"), rng.integers(1, 9)))
+        long = [t for t in terms if len(t) >= toxicity.FUZZY_FROM]
+        near = {t for t in long if distance(word, t) == 1}
+        found = matcher.near(word)
+        assert (terms[found] == word) if word in long else (terms[found] in near if near else found == -1)
+    matcher = toxicity.Matcher(toxicity.Model(words={"scum": 1.0, "idiots": 1.0, "oaf": 1.0}))
+    got = [matcher.near(w) for w in ("scun", "scmu", "sucm", "scum", "idoits", "idots", "ooaf", "scnu", "")]
+    assert got == [0, 0, 0, 0, 1, 1, -1, -1, -1]
+
+
+def test_features_equal_brute_force():
+    model = toxicity.Model(words={"scum": 2.0, "vermin": 3.0}, stems={"loath": 1.5})
+    matcher = toxicity.Matcher(model)
+    text = "You scum , loathing vermn ! " + "fine weather here " * 9 + 'he said "scum" and left'
+    tokens = text.lower().split()
+    # Word: weight and kind; the last scum stands in quotation marks.
+    places = [(1, 2.0, "exact", 0), (3, 1.5, "stem", 2), (4, 3.0, "fuzzy", 1)]
+    windows = [sum(w for p, w, _, _ in places if q <= p <= q + 2 * toxicity.WINDOW) for q, _, _, _ in places]
+    total, size = sum(w for _, w, _, _ in places), len(tokens)
+    want = [2.0, 1.5, 3.0, 1, 100 * total / size, 100 * 2.0 / size, 100 * 1.5 / size, max(windows), 3, 1, size]
+    assert np.allclose(toxicity.features(text, matcher), np.log1p(want))
+    for blank in (None, "", " \n"):
+        assert toxicity.features(blank, matcher).tolist() == [0.0] * 11
+
+
 def test_toxicity_learns_and_tolerates_misspelling(spark, empty):
     rng = np.random.default_rng(5)
     plain = [f"plain{k}" for k in range(300)]
