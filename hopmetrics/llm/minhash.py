@@ -17,7 +17,8 @@ component changes nothing any more. Lists that still hold several components are
 one by one, large ones by pairs of blocks, on a bitmap of each sketch that bounds what two
 can share from above. What may be similar leaves as pairs, for the estimate and then the
 full sets; where a list has many such pairs it leaves as members instead, which one task
-compares on full sets, returning a forest of links. So rows stand for members, and for a few
+compares on full sets, returning a forest of links. Such lists of much the same members are put
+together first, as long as they fit in a block. So rows stand for members, and for a few
 pairs each, and no link that matters is lost.
 
 Cases: a null or blank text has no shingles, is linked with nothing, and is kept. Rows
@@ -52,6 +53,8 @@ BLOCK = 2000
 BITS = 1024
 #: Pairs for each member, on average, from which a list is compared in one task on full sets.
 DENSE = 4
+#: Bits of the bitmap of wanted rows; it is broadcast in 64-bit words, SIEVE / 64 at most.
+SIEVE = 2**24
 #: At most so many values are known as frequent.
 FREQUENT = 20_000
 
@@ -168,6 +171,32 @@ def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _sieved(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """All rows with wanted keys, and few others while there are few wanted ones.
+
+    A bitmap of a fixed size, so that rows that nobody wants are not shuffled for a join. An
+    exact join has to follow.
+    """
+    mark = F.pmod(F.xxhash64(*keys), F.lit(SIEVE))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("mark", F.lit(64)).cast("int"))
+    marks = (
+        wanted.select(mark.alias("mark"))
+        .groupBy(F.shiftright("mark", 6).alias("word"))
+        .agg(F.bit_or(bit).alias("marks"))
+    )
+    return (
+        rows.withColumn("mark", mark)
+        .withColumn("word", F.shiftright("mark", 6))
+        .join(F.broadcast(marks), "word")
+        .filter(F.getbit("marks", F.pmod("mark", F.lit(64)).cast("int")) == 1)
+        .drop("mark", "word", "marks")
+    )
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
 def _pair(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -183,11 +212,8 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.record_batch([part.column(0), full], names=["node", "full"])
 
     text = common.text_or_empty()
-    ids = common.durable(wanted.select("doc", "body").distinct())
-    # The planner sees the table's size and moves the texts only if it must.
-    texts = docs.select(common.doc_key().alias("doc"), F.xxhash64(text).alias("body"), text.alias("text")).join(
-        ids, ["doc", "body"], "left_semi"
-    )
+    texts = docs.select(common.doc_key().alias("doc"), F.xxhash64(text).alias("body"), text.alias("text"))
+    texts = _sieved(texts, wanted, "doc", "body")
     once = texts.groupBy("doc", "body").agg(F.first("text").alias("text"))  # repeated rows are one
     return once.join(wanted, ["doc", "body"]).select("node", "text").mapInArrow(run, "node long, full binary")
 
@@ -250,7 +276,8 @@ def connected(edges: DataFrame) -> DataFrame:
             .filter("u <> v")
             .distinct()
         )
-        stars = common.durable(small)
+        before, stars = stars, common.durable(small)
+        common.forget(before)
         seen = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum("v")).first()
         if seen == state:
             break
@@ -350,7 +377,9 @@ def _candidates(frame: pd.DataFrame, k: int, percent: int) -> pd.DataFrame:
 
     Two sketches share at most as many values as their bitmaps share bits, and those that
     fell on one bit in either. Gives pairs (list null, a, b); where a list has many more
-    pairs than members, instead its members that are in one (list, a, b null), for a task of their own.
+    pairs than members, instead its members that are in one (list, alike, a, b null), for a task of
+    their own. ``alike`` is the same for lists with the same first member in the order of a hash,
+    which most lists of much the same members have.
     """
     frame = frame.sort_values(["value", "i", "j", "node"], ignore_index=True)
     lists = frame[["value", "i", "j"]].to_numpy()
@@ -377,13 +406,17 @@ def _candidates(frame: pd.DataFrame, k: int, percent: int) -> pd.DataFrame:
     for i in np.flatnonzero(dense):
         members = np.unique(node[np.concatenate([x[of == i], y[of == i]])])
         # Lists with the same members are one task.
-        key = words._mix(members.view(np.uint64)).sum(dtype=np.uint64).view(np.int64)
-        out.append(pd.DataFrame({"list": key, "a": members}))
-    return pd.concat(out).reindex(columns=["list", "a", "b"]).astype({"list": "Int64", "a": "Int64", "b": "Int64"}).drop_duplicates()
+        hashes = words._mix(members.view(np.uint64))
+        key = hashes.sum(dtype=np.uint64).view(np.int64)
+        place = np.array([lists[begin[i], 1] * BLOCK + lists[begin[i], 2]]).view(np.uint64)
+        alike = (hashes.min() ^ words._mix(place)).view(np.int64)[0]
+        out.append(pd.DataFrame({"list": key, "alike": alike, "a": members}))
+    columns = ["list", "alike", "a", "b"]
+    return pd.concat(out).reindex(columns=columns).astype(dict.fromkeys(columns, "Int64")).drop_duplicates()
 
 
 def _list_candidates(rest: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """list, a, b of ``_candidates`` for all lists; rest: value, node, n, label, c (members of the list)."""
+    """list, alike, a, b of ``_candidates`` for all lists; rest: value, node, n, label, c (members of the list)."""
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     dealt = rest.withColumn("blocks", blocks).withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.join(_bitmaps(nodes), "node").select(
@@ -402,7 +435,15 @@ def _list_candidates(rest: DataFrame, nodes: DataFrame, k: int, percent: int) ->
         return _candidates(frame, k, percent)
 
     dealt = dealt.withColumns({"small": small, "task": task}).drop("blocks")
-    return dealt.groupBy("small", "task").applyInPandas(run, "list long, a long, b long")
+    return dealt.groupBy("small", "task").applyInPandas(run, "list long, alike long, a long, b long")
+
+
+def _put_together(dense: DataFrame) -> DataFrame:
+    """list, node: the members of dense lists (list, alike, node), alike ones as one where a block holds them."""
+    members = dense.select("alike", "node").distinct()
+    fits = members.groupBy("alike").agg(F.count("*").alias("c")).filter(F.col("c") <= BLOCK).select("alike")
+    together = members.join(fits, "alike").select(F.col("alike").alias("list"), "node")
+    return together.unionByName(dense.join(fits, "alike", "left_anti").select("list", "node").distinct())
 
 
 def _dense_links(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -430,13 +471,14 @@ def _placed(docs: DataFrame, k: int, percent: int) -> DataFrame:
     rows = common.durable(sketches.select("doc", "body", "n", "h1", "h2"))
     common.forget(sketches)
     postings = _postings(nodes, _frequent(nodes, FREQUENT), k, percent)
+    # Counted alone first: most values are in one sketch only, and go no further.
+    often = postings.groupBy("value").agg(F.count("*").alias("c")).filter("c > 1").select("value")
+    met = common.durable(postings.join(often, "value"))
     hubs = F.array(
         *(F.min(F.struct(F.xxhash64(F.lit(h), "node").alias("key"), "node", "n")) for h in range(HUBS))
     )
-    lists = postings.groupBy("value").agg(F.count("*").alias("c"), hubs.alias("hubs")).filter("c > 1")
-    met = common.durable(postings.join(lists, "value"))
-    sketched = common.durable(nodes.join(met.select("node").distinct(), "node").select("node", "sketch"))
-    starred = met.select("node", "n", F.explode("hubs").alias("hub"))
+    hubs = common.durable(met.groupBy("value").agg(hubs.alias("hubs")))
+    starred = met.join(hubs, "value").select("node", "n", F.explode("hubs").alias("hub"))
     first = (
         starred.filter(
             (F.col("node") != F.col("hub.node")) & _similar_sizes(F.col("n"), F.col("hub.n"), percent)
@@ -444,36 +486,40 @@ def _placed(docs: DataFrame, k: int, percent: int) -> DataFrame:
         .select(*_pair(F.col("node"), F.col("hub.node")))
         .distinct()  # a pair meets in many lists
     )
-    near = common.durable(_estimated(first, sketched, k, percent))
+    near = common.durable(_estimated(first, nodes, k, percent))
     place = nodes.select("node", "doc", "body")
-    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    full = common.durable(_full_sets(docs, common.durable(place.join(ends, "node"))))
+    full = common.durable(_full_sets(docs, common.durable(place.join(_ends(near), "node"))))
     links = common.durable(_verified(near, full, percent))
     labels = met.select("node").distinct().select("node", F.col("node").alias("label"))
     labels = _relabelled(common.durable(labels), links)
 
     # Lists with nodes in several components that have not been compared as hubs.
-    is_hub = F.exists("hubs", lambda h: h["node"] == F.col("node"))
-    rest = met.filter(~is_hub).select("value", "node", "n").join(labels, "node")
+    is_hub = hubs.select("value", F.explode("hubs.node").alias("node"))
+    rest = met.join(is_hub, ["value", "node"], "left_anti").join(labels, "node")
     still = (
         rest.groupBy("value")
         .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("c"))
         .filter("low < high")
     )
     rest = common.durable(rest.join(still.select("value", "c"), "value").select("value", "node", "n", "label", "c"))
+    common.forget(met)
     if not rest.isEmpty():
-        found = common.durable(_list_candidates(rest, sketched, k, percent).distinct())
+        found = common.durable(_list_candidates(rest, _sieved(nodes, rest, "node"), k, percent).distinct())
         pairs = found.filter("list is null").select("a", "b")
-        near = common.durable(_estimated(pairs, sketched, k, percent))
-        dense = found.filter("list is not null").select("list", F.col("a").alias("node"))
-        ends = near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(dense.select("node")).distinct()
+        near = common.durable(_estimated(pairs, _sieved(nodes, _ends(pairs), "node"), k, percent))
+        dense = common.durable(
+            _put_together(found.filter("list is not null").select("list", "alike", F.col("a").alias("node")))
+        )
+        ends = _ends(near).unionByName(dense.select("node")).distinct()
         more = common.durable(place.join(ends.join(full, "node", "left_anti"), "node"))
         whole = full if more.isEmpty() else full.unionByName(common.durable(_full_sets(docs, more)))
-        links = _verified(near, whole, percent).unionByName(_dense_links(dense, whole, percent))
+        links = _verified(near, _sieved(whole, _ends(near), "node"), percent).unionByName(_dense_links(dense, whole, percent))
         labels = _relabelled(labels, common.durable(links))
+    common.forget(full)
     grouped = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = grouped.groupBy("label").agg(F.min(F.struct("doc", "body")).alias("first"))
     by_set = common.durable(grouped.join(smallest, "label").select("h1", "h2", "n", "first"))
+    common.forget(nodes)
     return rows.join(by_set, ["h1", "h2", "n"], "left").select("doc", "body", "n", "first")
 
 
