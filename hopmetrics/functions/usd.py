@@ -35,8 +35,9 @@ def _below_unit(usd: Column) -> Column:
 
 
 def exact_part(usd: Column) -> Column:
-    rounded = F.bround(_below_unit(usd).cast("decimal(32,10)"), PLACES).cast(EXACT_TYPE)
-    return F.when(F.abs(usd) < VAST, rounded).when(usd.isNotNull(), F.lit(0).cast(EXACT_TYPE))
+    # The remainder is slow, and few amounts need one.
+    below = F.when(F.abs(usd) < float(UNIT), usd).when(F.abs(usd) < VAST, _below_unit(usd)).when(usd.isNotNull(), 0.0)
+    return F.bround(below.cast("decimal(32,10)"), PLACES).cast(EXACT_TYPE)
 
 
 def large_part(usd: Column) -> Column:
