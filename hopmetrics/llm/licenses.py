@@ -1,4 +1,8 @@
-"""License scan: text blocks (lines) that contain a license template almost whole.
+"""License scan: text blocks that contain a license template almost whole.
+
+Blocks are the lines, and, for notices wrapped over several lines, stretches of words that
+begin at a line and go on over its end: ``SLACK`` times as many words as the template has.
+Stretches are made of documents only that hold enough of the template's tokens at all.
 
 Set-similarity join. A template's distinct tokens are put in the corpus' frequency order,
 rarest first. A block that holds at least ``need`` = ceil(threshold * size) of them must
@@ -10,12 +14,13 @@ pairs, and the containment of those left is computed in full. Built-in functions
 Beside it ``base_places`` finds fixed phrases, word by word.
 
 Cases: a null text has no words, like an empty one. A template whose tokens occur nowhere
-finds nothing. Rows with the same ``doc_id`` are scanned each on its own. Blocks are whole
-lines, however long. An empty table gives an empty result. Other columns are ignored.
+finds nothing. Rows with the same ``doc_id`` are scanned each on its own. Lines are whole
+blocks, however long; blank ones do not part a stretch. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,6 +29,8 @@ from pyspark.sql import functions as F
 from hopmetrics.llm import common
 
 THRESHOLD = 0.8
+#: Words in a stretch over several lines, for each word of the template.
+SLACK = 1.25
 
 #: Phrases whose places count, and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -48,6 +55,7 @@ TEMPLATES = (
 
 #: All ASCII that is neither a digit nor a letter.
 _BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+_IN_LINE = _BETWEEN.replace("\n", "")
 
 
 def words_of(text: Column) -> Column:
@@ -111,18 +119,25 @@ def _tokens(line: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(words_of(line), " +")), "")
 
 
+def stretch(template: str) -> int:
+    """Words in a stretch for this template."""
+    return math.ceil(len(template.split()) * SLACK - 1e-9)
+
+
 def _template_tokens(spark: SparkSession, templates) -> DataFrame:
-    """template, label, token: a row per distinct token of each template."""
+    """template, label, reach (words in a stretch for it), token: a row per distinct token of each template."""
     rows = F.array(
         *(
-            F.struct(F.lit(i).alias("template"), F.lit(label).alias("label"), F.lit(text).alias("text"))
+            F.struct(
+                F.lit(i).alias("template"), F.lit(label).alias("label"), F.lit(stretch(text)).alias("reach"), F.lit(text).alias("text")
+            )
             for i, (label, text) in enumerate(templates)
         )
     )
     return (
         spark.range(1)
         .select(F.inline(rows))
-        .select("template", "label", F.explode(F.array_distinct(F.split("text", " "))).alias("token"))
+        .select("template", "label", "reach", F.explode(F.array_distinct(F.split("text", " "))).alias("token"))
     )
 
 
@@ -141,7 +156,7 @@ def frequencies(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
 
 
 def ordered_templates(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """template, label, token, place (from 0, rarest first), size, need: a row per token."""
+    """template, label, reach, token, place (from 0, rarest first), size, need: a row per token."""
     by_rarity = Window.partitionBy("template").orderBy("n", "token")
     return (
         _template_tokens(docs.sparkSession, templates)
@@ -157,8 +172,59 @@ def ordered_templates(docs: DataFrame, templates=TEMPLATES, threshold: float = T
     )
 
 
+def _lines(texts: DataFrame) -> DataFrame:
+    """doc, body, reach (0: for all templates), line (from 0), words (distinct) of each line."""
+    lines = texts.select("doc", "body", F.posexplode(F.split("text", "\n")).alias("line", "words"))
+    return lines.select("doc", "body", F.lit(0).alias("reach"), "line", _tokens(F.col("words")).alias("words"))
+
+
+def _stretches(texts: DataFrame, templates, threshold: float, wanted: Column) -> DataFrame:
+    """The same of stretches: for templates with that ``reach``; ``line`` counts words and ends of lines."""
+    vocabulary = F.array(*map(F.lit, _vocabulary(templates)))
+    held = texts.withColumn("held", F.array_intersect(_tokens(F.col("text")), vocabulary))
+
+    def enough(template: str) -> Column:
+        tokens = sorted(set(template.split()))
+        needed = math.ceil(len(tokens) * threshold - 1e-9)
+        return F.size(F.array_intersect("held", F.array(*map(F.lit, tokens)))) >= needed
+
+    reaches = sorted({stretch(text) for _, text in templates})
+    possible = [
+        F.when(reduce(Column.__or__, (enough(text) for _, text in templates if stretch(text) == reach)), F.lit(reach))
+        for reach in reaches
+    ]
+    # Words and, between lines with words, a line end each.
+    plain = F.translate("text", common.UPPER + _IN_LINE, common.UPPER.lower() + " " * len(_IN_LINE))
+    marked = F.regexp_replace(F.regexp_replace(plain, " +", " "), " ?\n[ \n]*", " \n ")
+    rows = (
+        held.filter(F.contains("text", F.lit("\n")))
+        .select("doc", "body", "text", F.array_compact(F.array(*possible)).alias("reaches"))
+        .filter(F.size("reaches") > 0)
+        .select("doc", "body", "reaches", F.array_remove(F.split(marked, " +"), "").alias("marked"))
+        .select("doc", "body", "marked", F.explode("reaches").alias("reach"))
+    )
+
+    def is_start(at: Column) -> Column:
+        begins = (at == 0) | (F.get("marked", at) == "\n")
+        goes_on = F.array_contains(F.slice("marked", at + 2, F.col("reach")), "\n")
+        return begins & goes_on & F.arrays_overlap(within(at), wanted)
+
+    def within(at: Column) -> Column:
+        # At most a line end for each word, and the one that it begins with.
+        some = F.array_remove(F.slice("marked", at + 1, 2 * F.col("reach") + 1), "\n")
+        return F.slice(some, F.lit(1), F.col("reach"))
+
+    starts = F.filter(F.sequence(F.lit(0), F.size("marked") - 1), is_start)
+    found = F.transform(starts, lambda at: F.struct(at.alias("line"), F.array_distinct(within(at)).alias("words")))
+    return rows.filter(F.size("marked") > 0).select("doc", "body", "reach", F.inline(found))
+
+
 def blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc, body, line (from 0), template, label, containment: a row per block and template met."""
+    """doc, body, reach, line, template, label, containment: a row per block and template met.
+
+    ``reach`` is 0 for lines, and ``line`` their number from 0; else the words of the
+    stretch, and its place among all words and line ends.
+    """
     # A row per template token: as many as the templates have, however large the corpus.
     order = common.durable(ordered_templates(docs, templates, threshold).coalesce(1))
     prefix = order.filter(F.col("place") <= F.col("size") - F.col("need"))
@@ -169,30 +235,32 @@ def blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -
         first_tokens = [""]
     wanted = F.array(*map(F.lit, first_tokens))
     text = common.text_or_empty()
-    lines = (
-        docs.select(
-            common.doc_key().alias("doc"),
-            F.xxhash64(text).alias("body"),
-            F.posexplode(F.split(text, "\n")).alias("line", "words"),
-        )
-        .withColumn("words", _tokens(F.col("words")))
-        .withColumn("met", F.array_intersect("words", wanted))
+    texts = docs.select(common.doc_key().alias("doc"), F.xxhash64(text).alias("body"), text.alias("text"))
+    some = _lines(texts)
+    if templates:
+        some = some.unionByName(_stretches(texts, templates, threshold, wanted))
+    met = (
+        some.withColumn("met", F.array_intersect("words", wanted))
         .filter(F.size("met") > 0)
+        .select("doc", "body", "reach", "line", "words", F.explode("met").alias("token"))
     )
-    met = lines.select("doc", "body", "line", "words", F.explode("met").alias("token"))
+    first = prefix.select("token", "template", F.col("reach").alias("of"), "place", "size", "need")
     pairs = (
-        met.join(F.broadcast(prefix.select("token", "template", "place", "size", "need")), "token")
+        met.join(F.broadcast(first), "token")
+        .filter((F.col("reach") == 0) | (F.col("reach") == F.col("of")))
         .filter((F.size("words") >= F.col("need")) & (F.col("size") - F.col("place") >= F.col("need")))
-        .groupBy("doc", "body", "line", "template")
+        .groupBy("doc", "body", "reach", "line", "template")
         .agg(F.min("place").alias("place"), F.first("words").alias("words"))
-        # Nothing before the first token met is in the block.
+        # Nothing before the first token met on is in the block.
         .join(F.broadcast(whole), "template")
         .filter(F.col("size") - F.col("place") >= F.col("need"))
     )
     return (
         pairs.withColumn("shared", F.size(F.array_intersect("tokens", "words")))
         .filter(F.col("shared") >= F.col("need"))
-        .select("doc", "body", "line", "template", "label", (F.col("shared") / F.col("size")).alias("containment"))
+        .select(
+            "doc", "body", "reach", "line", "template", "label", (F.col("shared") / F.col("size")).alias("containment")
+        )
     )
 
 
@@ -230,13 +298,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(common.table(spark, sf_dir, "documents"))
 
 
-_VALUES = ", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(TEMPLATES))
+_VALUES = ", ".join(f"({i}, '{label}', '{text}', {stretch(text)})" for i, (label, text) in enumerate(TEMPLATES))
 _PHRASES = ", ".join(f"('{phrase}', '{label}')" for phrase, label in BASE)
 
-#: Containment of every template in every line, and every word place, without filters.
+#: Containment of every template in every line, and in the words from every line's start on;
+#: and every word place, without filters.
 ORACLE = f"""
 WITH templates AS (
-    SELECT id, label, list_distinct(string_split(text, ' ')) AS tokens FROM (VALUES {_VALUES}) t(id, label, text)
+    SELECT id, label, reach, list_distinct(string_split(text, ' ')) AS tokens
+    FROM (VALUES {_VALUES}) t(id, label, text, reach)
 ), phrases AS (
     SELECT string_split(phrase, ' ') AS parts, label FROM (VALUES {_PHRASES}) p(phrase, label)
 ), docs AS (
@@ -253,10 +323,16 @@ WITH templates AS (
            list_sort(list(DISTINCT label)) AS base_labels
     FROM places GROUP BY doc_id
 ), lines AS (
-    SELECT doc_id, list_distinct(regexp_extract_all(line, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w
-    FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM docs)
+    SELECT doc_id, i, regexp_extract_all(line, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+    FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line,
+                 generate_subscripts(string_split(low, chr(10)), 1) AS i FROM docs)
+), starts AS (
+    SELECT doc_id, (sum(len(w)) OVER (PARTITION BY doc_id ORDER BY i) - len(w))::BIGINT AS place FROM lines
 ), met AS (
-    SELECT doc_id, label, len(list_intersect(w, tokens)) / len(tokens) AS containment FROM lines, templates
+    SELECT doc_id, label, len(list_intersect(list_distinct(w), tokens)) / len(tokens) AS containment FROM lines, templates
+    UNION ALL
+    SELECT doc_id, label, len(list_intersect(list_distinct(w[place + 1:place + reach]), tokens)) / len(tokens)
+    FROM starts JOIN worded USING (doc_id), templates
 ), found AS (
     SELECT doc_id, list(DISTINCT label) AS more, max(containment) AS best
     FROM met WHERE containment >= {THRESHOLD} - 1e-9 GROUP BY doc_id

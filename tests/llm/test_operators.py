@@ -222,6 +222,44 @@ def test_licenses_places_and_blocks(docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
+NOTICES = {
+    "mit": """Permission is hereby granted, free of charge, to any person
+ * obtaining a copy of this software and associated
+ * documentation files (the "Software"), to deal in it""",
+    "bsd": """# Redistribution and use in source and binary forms,
+# with or without modification, are permitted provided
+
+# that the following conditions are met:""",
+    "apache-2.0": """you may not use this file except in compliance\r
+with the License. You may obtain a copy of\r
+the License at""",
+    "isc": """Permission to use, copy, modify, and/or distribute
+this software for any purpose with or without fee
+is hereby granted""",
+    "mpl-2.0": """// This Source Code Form is subject to the
+// terms of the Mozilla Public
+// License, v. 2.0.""",
+}
+
+
+def test_wrapped_notices_are_found(spark):
+    rows = [(i, f"a title\n\n{text}\nand more text below") for i, text in enumerate(NOTICES.values())]
+    # Words of a notice that lie too far apart; many marks without words; a line for each word.
+    rows += [(10, "\n".join(f"{w} " + "filler " * 9 for w in licenses.TEMPLATES[11][1].split())), (11, " ,\n" * 3000)]
+    rows += [(12, "\n".join(licenses.TEMPLATES[11][1].split())), (13, None), (14, "\n" + "- " * 5000)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].labels for i in range(len(NOTICES))] == list(NOTICES)
+    assert (got[10].labels, got[10].score, got[11].labels, got[12].labels, got[14].labels) == ("", 0.0, "", "mit", "")
+
+
+def test_license_stretches_reach_over_lines_only(spark):
+    template = (("x", "one two three four five"),)
+    rows = [(0, "one two\nthree four\nfive"), (1, "one two three\nz z z z four five"), (2, "one two three four five"), (3, "one two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = licenses.blocks(docs, template).collect()
+    assert sorted((r.doc, r.reach, r.line, r.containment) for r in found) == [(0, 7, 0, 1.0), (2, 0, 0, 1.0)]
+
+
 def test_decontamination_tolerates_substitutions(spark, docs, empty):
     item = [f"item{i}" for i in range(40)]
     changed = list(item)
