@@ -181,7 +181,10 @@ def _lines(texts: DataFrame) -> DataFrame:
 def _stretches(texts: DataFrame, templates, threshold: float, wanted: Column) -> DataFrame:
     """The same of stretches: for templates with that ``reach``; ``line`` counts words and ends of lines."""
     vocabulary = F.array(*map(F.lit, _vocabulary(templates)))
-    held = texts.withColumn("held", F.array_intersect(_tokens(F.col("text")), vocabulary))
+
+    def once(**values: Column) -> Column:
+        # What comes out of a generator is not worked out again for the filters above it.
+        return F.inline(F.array(F.struct(*(value.alias(name) for name, value in values.items()))))
 
     def enough(template: str) -> Column:
         tokens = sorted(set(template.split()))
@@ -196,27 +199,30 @@ def _stretches(texts: DataFrame, templates, threshold: float, wanted: Column) ->
     # Words and, between lines with words, a line end each.
     plain = F.translate("text", common.UPPER + _IN_LINE, common.UPPER.lower() + " " * len(_IN_LINE))
     marked = F.regexp_replace(F.regexp_replace(plain, " +", " "), " ?\n[ \n]*", " \n ")
+    at_start = F.filter(F.sequence(F.lit(0), F.size("marked") - 1), lambda at: (at == 0) | (F.get("marked", at) == "\n"))
     rows = (
-        held.filter(F.contains("text", F.lit("\n")))
-        .select("doc", "body", "text", F.array_compact(F.array(*possible)).alias("reaches"))
+        texts.filter(F.contains("text", F.lit("\n")))
+        .select("doc", "body", "text", once(held=F.array_intersect(_tokens(F.col("text")), vocabulary)))
+        .select("doc", "body", "text", once(reaches=F.array_compact(F.array(*possible))))
         .filter(F.size("reaches") > 0)
-        .select("doc", "body", "reaches", F.array_remove(F.split(marked, " +"), "").alias("marked"))
-        .select("doc", "body", "marked", F.explode("reaches").alias("reach"))
+        .select("doc", "body", "reaches", once(marked=F.array_remove(F.split(marked, " +"), "")))
+        .filter(F.size("marked") > 0)
+        .select("doc", "body", "reaches", "marked", once(at_start=at_start))
+        .select("doc", "body", "marked", "at_start", F.explode("reaches").alias("reach"))
     )
 
     def is_start(at: Column) -> Column:
-        begins = (at == 0) | (F.get("marked", at) == "\n")
         goes_on = F.array_contains(F.slice("marked", at + 2, F.col("reach")), "\n")
-        return begins & goes_on & F.arrays_overlap(within(at), wanted)
+        return goes_on & F.arrays_overlap(within(at), wanted)
 
     def within(at: Column) -> Column:
         # At most a line end for each word, and the one that it begins with.
         some = F.array_remove(F.slice("marked", at + 1, 2 * F.col("reach") + 1), "\n")
         return F.slice(some, F.lit(1), F.col("reach"))
 
-    starts = F.filter(F.sequence(F.lit(0), F.size("marked") - 1), is_start)
+    starts = F.filter("at_start", is_start)
     found = F.transform(starts, lambda at: F.struct(at.alias("line"), F.array_distinct(within(at)).alias("words")))
-    return rows.filter(F.size("marked") > 0).select("doc", "body", "reach", F.inline(found))
+    return rows.select("doc", "body", "reach", once(found=found)).select("doc", "body", "reach", F.inline("found"))
 
 
 def blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
