@@ -12,7 +12,7 @@ each sketch, if all sketches are cut in one order; the order puts frequent value
 which keeps passages that many documents share out of the lists.
 
 Skew. Lists are never paired in full at first: a list's members are compared with
-``HUBS`` of them, estimate first, and the similar ones become components. A pair within a
+its hubs, those that are first in one of ``ORDERS``, estimate first, and the similar ones become components. A pair within a
 component changes nothing any more. Lists that still hold several components are compared
 one by one, large ones by pairs of blocks, on a bitmap of each sketch that bounds what two
 can share from above. What may be similar leaves as pairs, for the estimate and then the
@@ -38,7 +38,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hopmetrics.llm import common, words
@@ -46,7 +46,8 @@ from hopmetrics.llm import common, words
 K = 96
 #: Similarity in per cent: 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 85
-HUBS = 3
+#: A list's hubs are its smallest members after an exclusive or with each of these.
+ORDERS = (0, 2**63 - 1, 0x2AAAAAAAAAAAAAAA)
 #: Members of a list in a block; larger lists are compared block by block.
 BLOCK = 2000
 #: Bits of a node's bitmap.
@@ -167,6 +168,18 @@ def _postings(nodes: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int,
     return nodes.select("node", "n", "sketch").mapInArrow(run, "value long, node long, n long")
 
 
+def _met(postings: DataFrame) -> DataFrame:
+    """value, node, n, hubs (nodes) of the values of more than one sketch.
+
+    Counted alone first: most values are in one sketch only, and go no further. A list's hubs
+    are found by the way, so that no later step has to bring a list together for them.
+    """
+    firsts = [F.min(F.col("node").bitwiseXOR(F.lit(o))).alias(f"hub{i}") for i, o in enumerate(ORDERS)]
+    hubs = F.array_distinct(F.array(*(F.col(f"hub{i}").bitwiseXOR(F.lit(o)) for i, o in enumerate(ORDERS))))
+    often = postings.groupBy("value").agg(F.count("*").alias("c"), *firsts).filter("c > 1")
+    return postings.join(often.select("value", hubs.alias("hubs")), "value")
+
+
 def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
@@ -193,33 +206,37 @@ def _sieved(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-
-
-def _pair(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def _texts_of(pairs: DataFrame) -> DataFrame:
+    """doc, body of both members of each pair, repeats included."""
+    one, other = (F.struct(F.col(f"{c}_doc").alias("doc"), F.col(f"{c}_body").alias("body")) for c in "ab")
+    return pairs.select(F.explode(F.array(one, other)).alias("row")).select("row.*")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, full: the whole shingle set of each wanted node (doc, body, node), as bytes."""
+    """doc, body, full: the whole shingle set of each wanted text (doc, body), and of few others, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch):
                 sets = words.shingle_sets(part.column(1))
                 full = pa.array([s.tobytes() for s in sets], pa.binary())
-                yield pa.record_batch([part.column(0), full], names=["node", "full"])
+                yield pa.record_batch([part.column(0), part.column(2), full], names=["doc", "body", "full"])
 
     text = common.text_or_empty()
     texts = docs.select(common.doc_key().alias("doc"), F.xxhash64(text).alias("body"), text.alias("text"))
     texts = _sieved(texts, wanted, "doc", "body")
     once = texts.groupBy("doc", "body").agg(F.first("text").alias("text"))  # repeated rows are one
-    return once.join(wanted, ["doc", "body"]).select("node", "text").mapInArrow(run, "node long, full binary")
+    return once.select("doc", "text", "body").mapInArrow(run, "doc long, body long, full binary")
+
+
+_PAIR = "a long, a_doc long, a_body long, b long, b_doc long, b_body long"
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs whose union sketch has enough shared values to reach the threshold."""
+    """Pairs (a, b) of similar sizes whose union sketch has enough shared values to reach the threshold.
+
+    Gives each member's text (doc, body) as well, so that full sets need no join with the nodes.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -229,16 +246,18 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> Data
                 union = np.union1d(x, y)[:k]
                 shared = np.isin(union, x, assume_unique=True) & np.isin(union, y, assume_unique=True)
                 keep[i] = shared.sum() >= least_shared(len(union), k, percent)
-            yield frame.loc[keep, ["a", "b"]]
+            yield frame.loc[keep, ["a", "a_doc", "a_body", "b", "b_doc", "b_body"]]
 
-    sketch = nodes.select("node", "sketch")
-    return (
-        pairs.join(sketch.toDF("a", "x"), "a").join(sketch.toDF("b", "y"), "b").mapInPandas(run, "a long, b long")
-    )
+    member = nodes.select("node", "doc", "body", "n", "sketch")
+    one, other = (member.toDF(c, f"{c}_doc", f"{c}_body", f"{c}_n", s) for c, s in ("ax", "by"))
+    joined = pairs.join(one, "a")
+    if "n" in pairs.columns:  # of b: dissimilar ones take no sketch along to the next join
+        joined = joined.filter(_similar_sizes(F.col("n"), F.col("a_n"), percent)).drop("n")
+    return joined.join(other, "b").drop("a_n", "b_n").mapInPandas(run, _PAIR)
 
 
 def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the threshold."""
+    """Pairs (a, b) whose full sets reach the threshold."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -249,54 +268,44 @@ def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
                 keep[i] = 100 * shared >= percent * (len(x) + len(y) - shared)
             yield frame.loc[keep, ["a", "b"]]
 
-    return pairs.join(full.toDF("a", "x"), "a").join(full.toDF("b", "y"), "b").mapInPandas(run, "a long, b long")
+    one, other = (full.toDF(f"{c}_doc", f"{c}_body", s) for c, s in ("ax", "by"))
+    joined = pairs.join(one, ["a_doc", "a_body"]).join(other, ["b_doc", "b_body"])
+    return joined.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """node, label (smallest node reachable) of all nodes with an edge (a, b).
 
-    Large-star and small-star steps in turn until nothing changes; each written down, so
-    that the lineage stays short.
+    Links lead from larger nodes to smaller ones. In turn, what a node is linked with moves to
+    the smallest of it, and a link to a node that has links itself goes to the smallest of
+    those instead, until all nodes are linked with one that has no link. Each step is
+    written down, so that the lineage stays short.
     """
-    stars = common.durable(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    )
-    state = None
+    links, before = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v"), None
     while True:
-        # Large star: all larger neighbours move to the smallest one.
-        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # Small star: all smaller neighbours, and the node, move to the smallest one.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u")
-        small = (
-            moved.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(least.select("u", F.col("m").alias("v")))
-            .filter("u <> v")
-            .distinct()
+        least = F.min("v").over(Window.partitionBy("u"))
+        own = links.repartition("u").dropDuplicates(["u", "v"]).withColumn("m", least)
+        hooked = own.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        above = hooked.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("to"))
+        # Repeats are dropped where the join has put them.
+        moved = hooked.join(above, "v", "left").dropDuplicates(["u", "v"])
+        links = common.durable(moved.select("u", F.coalesce("to", "v").alias("v")))
+        if before is not None:
+            common.forget(before)
+        before = links
+        # As an end of links: what it leads to, at least and at most, and whether others lead to it.
+        child, parent = F.struct(F.col("u").alias("node"), F.col("v").alias("to")), F.struct(F.col("v").alias("node"), F.lit(None).cast("long").alias("to"))
+        end = F.explode(F.array(child, parent))
+        ends = (
+            links.select(end.alias("end"))
+            .groupBy("end.node")
+            .agg(F.min("end.to").alias("low"), F.max("end.to").alias("high"), F.max(F.isnull("end.to")).alias("met"))
         )
-        before, stars = stars, common.durable(small)
-        common.forget(before)
-        seen = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum("v")).first()
-        if seen == state:
-            break
-        state = seen
-    roots = stars.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
-    return stars.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
-
-
-def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after joining the components that the links connect."""
-    if links.isEmpty():
-        return labels
-    ends = (
-        links.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    )
-    moved = connected(ends).toDF("label", "to")
-    return common.durable(
-        labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-    )
+        ends = common.durable(ends)
+        if not ends.filter("low < high or low is not null and met").count():
+            common.forget(links)
+            return ends.select("node", F.coalesce("low", "node").alias("label"))
+        common.forget(ends)
 
 
 def _shared(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -441,13 +450,13 @@ def _list_candidates(rest: DataFrame, nodes: DataFrame, k: int, percent: int) ->
 def _put_together(dense: DataFrame) -> DataFrame:
     """list, node: the members of dense lists (list, alike, node), alike ones as one where a block holds them."""
     members = dense.select("alike", "node").distinct()
-    fits = members.groupBy("alike").agg(F.count("*").alias("c")).filter(F.col("c") <= BLOCK).select("alike")
-    together = members.join(fits, "alike").select(F.col("alike").alias("list"), "node")
-    return together.unionByName(dense.join(fits, "alike", "left_anti").select("list", "node").distinct())
+    fits = members.groupBy("alike").agg(F.count("*").alias("c")).filter(F.col("c") <= BLOCK)
+    key = F.when(F.col("c").isNotNull(), F.col("alike")).otherwise(F.col("list"))
+    return dense.join(fits, "alike", "left").select(key.alias("list"), "node").distinct()
 
 
 def _dense_links(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect the similar members of each list; members: list, node."""
+    """Links (a, b) that connect the similar members of each list; members: list, node, doc, body."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("node")
@@ -455,7 +464,8 @@ def _dense_links(members: DataFrame, full: DataFrame, percent: int) -> DataFrame
         links = _forest([np.frombuffer(s, np.uint64) for s in frame["full"]], percent) if len(frame) > 1 else []
         return pd.DataFrame({"a": [nodes[x] for x, _ in links], "b": [nodes[y] for _, y in links]}, dtype="int64")
 
-    return members.join(full, "node").groupBy("list").applyInPandas(run, "a long, b long")
+    sets = members.join(full, ["doc", "body"]).select("list", "node", "full")
+    return sets.groupBy("list").applyInPandas(run, "a long, b long")
 
 
 def _placed(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -470,32 +480,17 @@ def _placed(docs: DataFrame, k: int, percent: int) -> DataFrame:
     )
     rows = common.durable(sketches.select("doc", "body", "n", "h1", "h2"))
     common.forget(sketches)
-    postings = _postings(nodes, _frequent(nodes, FREQUENT), k, percent)
-    # Counted alone first: most values are in one sketch only, and go no further.
-    often = postings.groupBy("value").agg(F.count("*").alias("c")).filter("c > 1").select("value")
-    met = common.durable(postings.join(often, "value"))
-    hubs = F.array(
-        *(F.min(F.struct(F.xxhash64(F.lit(h), "node").alias("key"), "node", "n")) for h in range(HUBS))
-    )
-    hubs = common.durable(met.groupBy("value").agg(hubs.alias("hubs")))
-    starred = met.join(hubs, "value").select("node", "n", F.explode("hubs").alias("hub"))
-    first = (
-        starred.filter(
-            (F.col("node") != F.col("hub.node")) & _similar_sizes(F.col("n"), F.col("hub.n"), percent)
-        )
-        .select(*_pair(F.col("node"), F.col("hub.node")))
-        .distinct()  # a pair meets in many lists
-    )
-    near = common.durable(_estimated(first, nodes, k, percent))
-    place = nodes.select("node", "doc", "body")
-    full = common.durable(_full_sets(docs, common.durable(place.join(_ends(near), "node"))))
+    met = common.durable(_met(_postings(nodes, _frequent(nodes, FREQUENT), k, percent)))
+    starred = met.select(F.explode("hubs").alias("a"), F.col("node").alias("b"), "n").filter("a <> b")
+    near = common.durable(_estimated(starred.distinct(), nodes, k, percent))  # a pair meets in many lists
+    full = common.durable(_full_sets(docs, _texts_of(near)))
     links = common.durable(_verified(near, full, percent))
-    labels = met.select("node").distinct().select("node", F.col("node").alias("label"))
-    labels = _relabelled(common.durable(labels), links)
+    common.forget(full)
+    labels = connected(links)
 
     # Lists with nodes in several components that have not been compared as hubs.
-    is_hub = hubs.select("value", F.explode("hubs.node").alias("node"))
-    rest = met.join(is_hub, ["value", "node"], "left_anti").join(labels, "node")
+    rest = met.filter(~F.array_contains("hubs", F.col("node"))).select("value", "node", "n").join(labels, "node", "left")
+    rest = rest.withColumn("label", F.coalesce("label", "node"))
     still = (
         rest.groupBy("value")
         .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("c"))
@@ -506,16 +501,15 @@ def _placed(docs: DataFrame, k: int, percent: int) -> DataFrame:
     if not rest.isEmpty():
         found = common.durable(_list_candidates(rest, _sieved(nodes, rest, "node"), k, percent).distinct())
         pairs = found.filter("list is null").select("a", "b")
-        near = common.durable(_estimated(pairs, _sieved(nodes, _ends(pairs), "node"), k, percent))
-        dense = common.durable(
-            _put_together(found.filter("list is not null").select("list", "alike", F.col("a").alias("node")))
-        )
-        ends = _ends(near).unionByName(dense.select("node")).distinct()
-        more = common.durable(place.join(ends.join(full, "node", "left_anti"), "node"))
-        whole = full if more.isEmpty() else full.unionByName(common.durable(_full_sets(docs, more)))
-        links = _verified(near, _sieved(whole, _ends(near), "node"), percent).unionByName(_dense_links(dense, whole, percent))
-        labels = _relabelled(labels, common.durable(links))
-    common.forget(full)
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+        near = common.durable(_estimated(pairs, _sieved(nodes, ends, "node"), k, percent))
+        dense = _put_together(found.filter("list is not null").select("list", "alike", F.col("a").alias("node")))
+        dense = common.durable(dense.join(nodes.select("node", "doc", "body"), "node"))
+        full = common.durable(_full_sets(docs, _texts_of(near).unionByName(dense.select("doc", "body"))))
+        links = common.durable(_verified(near, full, percent).unionByName(_dense_links(dense, full, percent)))
+        common.forget(full)
+        if not links.isEmpty():
+            labels = connected(labels.toDF("a", "b").unionByName(links))
     grouped = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = grouped.groupBy("label").agg(F.min(F.struct("doc", "body")).alias("first"))
     by_set = common.durable(grouped.join(smallest, "label").select("h1", "h2", "n", "first"))
